@@ -16,7 +16,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from txnloom.config import Channel, Lake
 from txnloom.functions.casts import utc_now_text
-from txnloom.functions.contracts import SCORED_CONTRACT, violation
+from txnloom.functions.contracts import SCORED_CONTRACT, text_violation
 from txnloom.functions.rules import HIGH_VALUE_AMOUNT
 from txnloom.operators import logs, medallion, scoring
 from txnloom.operators.explain import explain
@@ -195,7 +195,7 @@ def check_scored(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split scored events by the scored contract."""
     text = F.to_json(F.struct(*[F.col(c) for c in events.columns]))
     checked = events.withColumns({"raw_event": text}).withColumn(
-        "reject_reason", violation(F.try_parse_json("raw_event"), SCORED_CONTRACT)
+        "reject_reason", text_violation(F.col("raw_event"), SCORED_CONTRACT)
     )
     sound = checked.filter(F.col("reject_reason").isNull()).drop("raw_event", "reject_reason")
     return sound, checked.filter(F.col("reject_reason").isNotNull()).select(*REJECTED)
