@@ -49,11 +49,11 @@ def decide(df: DataFrame) -> DataFrame:
 
 def predict_probability(df: DataFrame, model: PipelineModel) -> DataFrame:
     """Add the model's probability of the positive class, in the JVM."""
-    before = df.columns
-    with_features = add_features(df) if "balance_diff_orig" not in before else df
+    kept = [c for c in df.columns if c != PROBABILITY]
+    with_features = add_features(df) if "balance_diff_orig" not in kept else df
     scored = model.transform(with_features)
     positive = vector_to_array(F.col("probability")).getItem(1)
-    return scored.select(*before, positive.alias(PROBABILITY))
+    return scored.select(*kept, positive.alias(PROBABILITY))
 
 
 def score(

@@ -355,7 +355,7 @@ def _forest(spark: SparkSession, sf_dir: str) -> PipelineModel:
 
 
 def _run(spark: SparkSession, sf_dir: str, name: str, fit, params: dict) -> DataFrame:
-    split, _ = splits.validation_split(transactions(spark, sf_dir))
+    split, _ = splits.validation_split(transactions(spark, sf_dir).drop("fraud_probability"))
     train, test = splits.parts(split)
     model = fit(train)
     metrics = training.evaluate(model, test)

@@ -234,16 +234,15 @@ def probability_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.probability_histogram(transactions(spark, sf_dir))
 
 
-_BOUNDS = ", ".join(f"({i}, {b}::DOUBLE)" for i, b in enumerate(telemetry.LATENCY_BOUNDS))
-# Cumulative counts per group and bound, then the first bound that reaches the rank.
+# Latency bounds as rows, and p95 from cumulative counts per group and bound: the
+# first bound that reaches the rank, linear inside its bucket.
+_BOUNDS_CTE = "bounds(i, le) AS (VALUES {})".format(
+    ", ".join(f"({i}, {b}::DOUBLE)" for i, b in enumerate(telemetry.LATENCY_BOUNDS))
+)
 _P95 = """
-    {name}_le AS (
-        SELECT g.{key}, i, le, count(*) FILTER (r.seconds <= le) AS c, count(*) AS n
-        FROM {groups} g JOIN {rows} r ON {match}, (VALUES {bounds}) AS b(i, le)
-        GROUP BY g.{key}, i, le
-    ), {name}_lag AS (
+    {name}_lag AS (
         SELECT *, lag(c, 1, 0) OVER w AS below, lag(le, 1, 0.0) OVER w AS lower
-        FROM {name}_le WINDOW w AS (PARTITION BY {key} ORDER BY i)
+        FROM {counts} WINDOW w AS (PARTITION BY {key} ORDER BY i)
     ), {name} AS (
         SELECT {key}, any_value(n) AS n,
             coalesce(min_by(lower + (le - lower) * ((n * 0.95::DOUBLE - below) / (c - below)), i)
@@ -261,12 +260,11 @@ _P95 = """
             round(n / 300.0::DOUBLE, 6) AS rate_per_second, round(p95, 6) AS p95_seconds
         FROM q
         """,
-        "r AS (SELECT time_bucket(INTERVAL 5 MINUTE, timestamp) AS start, "
-        "duration_ms / 1000.0::DOUBLE AS seconds FROM req)",
-        "g AS (SELECT DISTINCT start FROM r)",
-        _P95.format(
-            name="q", key="start", groups="g", rows="r", match="g.start = r.start", bounds=_BOUNDS
-        ),
+        _BOUNDS_CTE,
+        "counted AS (SELECT time_bucket(INTERVAL 5 MINUTE, timestamp) AS start, i, le, "
+        "count(*) FILTER (duration_ms / 1000.0::DOUBLE <= le) AS c, count(*) AS n "
+        "FROM req, bounds GROUP BY ALL)",
+        _P95.format(name="q", key="start", counts="counted"),
     ),
 )
 def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,31 +277,38 @@ def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
 # For the alerts the latency is scaled so that slow phases occur, and
 # predictions are half a second apart so that high-risk phases occur.
 _ALERT_CTES = (
-    "ra AS (SELECT timestamp AS t, status_code, duration_ms * 20 / 1000.0::DOUBLE AS seconds, "
+    _BOUNDS_CTE,
+    "ra AS (SELECT status_code, duration_ms * 20 / 1000.0::DOUBLE AS seconds, "
     "CAST(floor(epoch(timestamp) / 60) AS BIGINT) + 1 AS m FROM req)",
     "pa AS (SELECT CAST(floor((1704067200 + o_orderkey // 2) / 60) AS BIGINT) + 1 AS m "
     "FROM orders WHERE CAST((o_orderkey * 37) % 1000 AS DOUBLE) / 1000.0::DOUBLE >= 0.8)",
+    # All minutes of the data, so that a frame of rows is a frame of minutes.
     "mins AS (SELECT unnest(generate_series((SELECT min(m) FROM ra), "
     "(SELECT max(m) FROM ra) + 20)) AS e)",
     "pmins AS (SELECT unnest(generate_series((SELECT min(m) FROM pa), "
     "(SELECT max(m) FROM pa) + 20)) AS e)",
-    _P95.format(
-        name="slow", key="e", groups="mins", rows="ra",
-        match="r.m <= g.e AND r.m > g.e - 5", bounds=_BOUNDS,
-    ),
+    "per_min AS (SELECT e, coalesce(x, 0) AS x FROM mins LEFT JOIN "
+    "(SELECT m AS e, count(*) FILTER (status_code >= 500) AS x FROM ra GROUP BY m) USING (e))",
+    "per_pmin AS (SELECT e, coalesce(x, 0) AS x FROM pmins LEFT JOIN "
+    "(SELECT m AS e, count(*) AS x FROM pa GROUP BY m) USING (e))",
+    "per_le AS (SELECT m AS e, i, count(*) FILTER (seconds <= le) AS c, count(*) AS n "
+    "FROM ra, bounds GROUP BY ALL)",
+    "last_five AS (SELECT * FROM (SELECT e, i, le, sum(coalesce(c, 0)) OVER f AS c, "
+    "sum(coalesce(n, 0)) OVER f AS n FROM mins CROSS JOIN bounds LEFT JOIN per_le USING (e, i) "
+    "WINDOW f AS (PARTITION BY i ORDER BY e ROWS 4 PRECEDING)) WHERE n > 0)",
+    _P95.format(name="slow", key="e", counts="last_five"),
     """
     v AS (
         SELECT 'FraudApiHighErrorRate' AS alert, 'warning' AS severity, 2 AS hold, 0.0 AS bound, e,
-            (SELECT count(*) FROM ra WHERE m <= e AND m > e - 5 AND status_code >= 500)
-                / 300.0::DOUBLE AS value
-        FROM mins
+            sum(x) OVER (ORDER BY e ROWS 4 PRECEDING) / 300.0::DOUBLE AS value
+        FROM per_min
         UNION ALL
         SELECT 'FraudApiHighP95Latency', 'warning', 5, 2.0, e, p95
         FROM mins LEFT JOIN slow USING (e)
         UNION ALL
         SELECT 'FraudHighRiskSpike', 'critical', 5, 0.2, e,
-            (SELECT count(*) FROM pa WHERE m <= e AND m > e - 10) / 600.0::DOUBLE
-        FROM pmins
+            sum(x) OVER (ORDER BY e ROWS 9 PRECEDING) / 600.0::DOUBLE
+        FROM per_pmin
     )
     """,
     """
