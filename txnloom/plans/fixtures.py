@@ -7,14 +7,9 @@ the mapping is written separately on each side.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnloom.functions.contracts import bind
-
 # Expressions that differ between the two SQL dialects.
 SPARK = {
     "days": "datediff(o_orderdate, DATE'1995-01-01')",
@@ -161,21 +156,18 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event JSON with faults by event id: %11 no amount, %13 amount as text,
     %17 truncated text, %19 null step."""
     events = event_stream(spark, sf_dir).drop("event_timestamp")
-    faults = [
-        (11, lambda text: F.regexp_replace(text, '"amount":[^,]*,', "")),
-        (13, lambda text: F.regexp_replace(text, '"amount":([^,]*),', '"amount":"$1",')),
-        (17, lambda text: F.left(text, F.length(text) - 30)),
-        (19, lambda text: F.regexp_replace(text, '"step":[^,]*,', '"step":null,')),
-    ]
-    value = F.to_json(F.struct("*"))
-    for divisor, damage in faults:
-        hit = F.col("event_id").cast("bigint") % divisor == 0
-        value = bind(value, partial(_when_hit, hit, damage))
-    return events.select(F.col("event_id").alias("key"), value.alias("value"))
-
-
-def _when_hit(hit: Column, damage: Callable[[Column], Column], text: Column) -> Column:
-    return F.when(hit, damage(text)).otherwise(text)
+    n = F.col("event_id").cast("bigint")
+    text = F.to_json(F.struct("*"))
+    # A pattern that matches nothing leaves the text of the other rows alone.
+    for divisor, pattern, replacement in (
+        (11, '"amount":[^,]*,', ""),
+        (13, '"amount":([^,]*),', '"amount":"$1",'),
+        (17, ".{30}$", ""),
+        (19, '"step":[^,]*,', '"step":null,'),
+    ):
+        chosen = F.when(n % divisor == 0, F.lit(pattern)).otherwise(F.lit("$^"))
+        text = F.regexp_replace(text, chosen, F.lit(replacement))
+    return events.select(F.col("event_id").alias("key"), text.alias("value"))
 
 
 TXN_CTE = (

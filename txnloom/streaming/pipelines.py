@@ -16,11 +16,11 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from txnloom.config import Channel, Lake
 from txnloom.functions.casts import utc_now_text
-from txnloom.functions.contracts import SCORED_CONTRACT, text_violation
+from txnloom.functions.contracts import SCORED_CONTRACT
 from txnloom.functions.rules import HIGH_VALUE_AMOUNT
 from txnloom.operators import logs, medallion, scoring
 from txnloom.operators.explain import explain
-from txnloom.operators.quality import split_triaged, triage
+from txnloom.operators.quality import check_contract, split_triaged, triage
 from txnloom.sources.readers import stream_messages
 from txnloom.sources.writers import append_stream, publish, write_batch
 
@@ -168,21 +168,25 @@ def score_batch_writer(
         triaged = triage(batch).persist()
         good, bad = split_triaged(triaged)
         scored = explain(scoring.score(good, model), model)
-        scored = scored.withColumn("scored_at", utc_now_text()).persist()
-        sound, unsound = check_scored(scoring.scored_event(scored, F.col("scored_at")))
-        rejected = bad.select(*REJECTED).unionByName(unsound)
+        checked = check_scored(scored.withColumn("scored_at", utc_now_text())).persist()
+        sound = checked.filter(F.col("reject_reason").isNull())
+        unsound = checked.filter(F.col("reject_reason").isNotNull())
+        rejected = bad.select(*REJECTED).unionByName(unsound.select(*REJECTED))
+        sent = sound.select(
+            F.coalesce("event_id", F.lit("unknown")).alias("key"), F.col("raw_event").alias("value")
+        )
 
         def log(rows: DataFrame, name: str) -> None:
             write_batch(rows, f"{lake.root}/logs/{name}", batch_id, lake.format)
 
         try:
-            _publish_batch(logs.messages(sound), scored_sink, batch_id)
-            log(logs.scored_log(sound), "scored")
-            log(logs.audit_rows(scored), "audit")
+            _publish_batch(sent, scored_sink, batch_id)
+            log(logs.scored_log(scoring.scored_event(sound, F.col("scored_at"))), "scored")
+            log(logs.audit_rows(sound), "audit")
             _publish_batch(logs.error_messages(rejected), errors_sink, batch_id)
             log(logs.dead_letters(rejected), "dead_letters")
         finally:
-            scored.unpersist()
+            checked.unpersist()
             triaged.unpersist()
 
     return write
@@ -191,14 +195,15 @@ def score_batch_writer(
 REJECTED = ("event_id", "source_dataset", "raw_event", "reject_reason")
 
 
-def check_scored(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split scored events by the scored contract."""
-    text = F.to_json(F.struct(*[F.col(c) for c in events.columns]))
-    checked = events.withColumns({"raw_event": text}).withColumn(
-        "reject_reason", text_violation(F.col("raw_event"), SCORED_CONTRACT)
-    )
-    sound = checked.filter(F.col("reject_reason").isNull()).drop("raw_event", "reject_reason")
-    return sound, checked.filter(F.col("reject_reason").isNotNull()).select(*REJECTED)
+def check_scored(scored: DataFrame) -> DataFrame:
+    """Add the scored event as JSON (``raw_event``) and its contract error
+    (``reject_reason``), both computed once for all outputs."""
+    event = scoring.scored_event(scored, F.col("scored_at")).columns
+    packed = scored.withColumn("prediction", scoring.as_prediction())
+    members = [F.col(c) for c in event if c in packed.columns]
+    texts = packed.withColumn("raw_event", F.to_json(F.struct(*members))).drop("prediction")
+    checked = check_contract(texts, SCORED_CONTRACT, "raw_event")
+    return checked.withColumnRenamed("contract_error", "reject_reason")
 
 
 def _publish_batch(messages: DataFrame, channel: Channel, batch_id: int) -> None:
