@@ -65,6 +65,7 @@ def test_scans_read_only_used_columns(plans):
     assert set(read("ieee_identity_join")) == {
         "o_orderkey:bigint,o_custkey:bigint,o_totalprice:double",
         "l_orderkey:bigint,l_linenumber:int,l_shipdate:timestamp_ntz",
+        "l_orderkey:bigint",
     }
 
 

@@ -88,7 +88,12 @@ def normalize_ieee(df: DataFrame, *, stable_ids: bool = True) -> DataFrame:
 def join_identity(transactions: DataFrame, identity: DataFrame) -> DataFrame:
     """Left join on TransactionID; several identities repeat the transaction.
 
-    No broadcast hint: the identity side grows with the data, so the optimizer
-    decides from its size, and AQE splits a skewed TransactionID.
+    Written as inner join plus the transactions without identity.  AQE can
+    split a hot id on both sides of an inner join, but not on the right side of
+    an outer one; the other part only needs the distinct ids.  No broadcast
+    hint: the identity side grows with the data.
     """
-    return transactions.join(identity, "TransactionID", "left")
+    key = "TransactionID"
+    matched = transactions.join(identity, key)
+    alone = transactions.join(identity.select(key).distinct(), key, "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)

@@ -44,10 +44,8 @@ def recent_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def audit_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decided(spark, sf_dir)
-    times = rows.select("event_id", "event_timestamp")
-    audit = logs.audit_rows(rows).drop("created_at").join(times, "event_id")
-    recent = reports.recent_audit(audit.withColumnRenamed("event_timestamp", "created_at"))
+    audit = logs.audit_rows(decided(spark, sf_dir), F.col("event_timestamp"))
+    recent = reports.recent_audit(audit)
     return logs.json_safe(recent)
 
 
