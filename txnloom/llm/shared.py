@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_type
 
 from txnloom.config import new_workspace
 
@@ -56,7 +56,7 @@ def add_from_text(
     """
     kept = other_fields(df, [f.name for f in fields])
     schema = T.StructType([*kept, *fields])
-    arrow = to_arrow_schema(schema, timezone="UTC")
+    types = [to_arrow_type(f.dataType) for f in fields]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,10 +64,8 @@ def add_from_text(
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
-                new = work(part.column(source))
-                old = [part.column(n) for n in names]
-                types = [*(c.type for c in old), *(arrow.field(i).type for i in range(len(old), len(arrow)))]
-                columns = [c.cast(t) if c.type != t else c for c, t in zip([*old, *new], types, strict=True)]
+                new = [c.cast(t) for c, t in zip(work(part.column(source)), types, strict=True)]
+                columns = [*(part.column(n) for n in names), *new]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.mapInArrow(run, schema)
