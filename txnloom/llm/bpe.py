@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 import math
-from functools import cache
+from functools import cache, cached_property
 from itertools import chain
 
 import ahocorasick
@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 from txnloom.llm.shared import add_from_text
 
 # Bounds on what a worker remembers: two generations of pieces, the older of
-# which goes when the newer is full, and pairs, which start again.
-REMEMBERED_PIECES = 400_000
-REMEMBERED_PAIRS = 1_000_000
+# which goes when the newer is full, and pairs of tokens, which start again.
+REMEMBERED_PIECES = 250_000
+REMEMBERED_PAIRS = 500_000
 # Characters beyond a piece that can decide where the piece ends.
 LOOKAHEAD = 4
 
@@ -48,18 +48,20 @@ class Codec:
         self._pairs: dict[tuple[int, int], bool] = {}
         self._pieces: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
-        ends = ahocorasick.Automaton()
         for token, rank in sorted(ranks.items(), key=lambda item: item[1]):
-            if len(token) == 1:
-                self.halves[rank] = None
-            else:
-                split = self._split(token, rank)
-                if split is None:
-                    continue  # no merge leads to this token
+            split = self._split(token, rank) if len(token) > 1 else None
+            if split or len(token) == 1:  # else no merge leads to this token
                 self.halves[rank] = split
+        self.reached = {token: rank for token, rank in ranks.items() if rank in self.halves}
+
+    @cached_property
+    def _ends(self) -> ahocorasick.Automaton:
+        """Finds the tokens that end at each byte."""
+        ends = ahocorasick.Automaton()
+        for token, rank in self.reached.items():
             ends.add_word(token.decode("latin-1"), (rank, len(token)))
         ends.make_automaton()
-        self._ends = ends
+        return ends
 
     def _split(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The two tokens whose merge is ``token``."""
@@ -135,7 +137,9 @@ class Codec:
         """Ids of one match of the pattern."""
         data = piece.encode()
         whole = self.ranks.get(data)
-        return (whole,) if whole is not None else self.walk(self.table(data.decode("latin-1")))
+        if whole is not None:
+            return (whole,)
+        return self.walk(self.table(data.decode("latin-1")))
 
     def table(self, text: str) -> list[int]:
         """The last token of every prefix of a string of Latin-1 bytes."""
@@ -168,9 +172,6 @@ class Codec:
             known[new] = older.get(new) or self.piece(new)
         return chain.from_iterable(map(known.__getitem__, pieces))
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
 
 class PieceTable:
     """The last tokens of all prefixes of one byte string, kept under changes."""
@@ -230,11 +231,15 @@ class EncodedText:
 
 
 @cache
-def codec(path: str, pattern: str) -> Codec:
-    """Codec of a rank file: one base64 token and its rank per line."""
+def ranks_of(path: str) -> dict[bytes, int]:
+    """Ranks of a file with one base64 token and its rank per line."""
     with open(path, "rb") as lines:
-        pairs = (line.split() for line in lines if line.strip())
-        return Codec({base64.b64decode(token): int(rank) for token, rank in pairs}, pattern)
+        return {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines if x.strip())}
+
+
+@cache
+def codec(path: str, pattern: str) -> Codec:
+    return Codec(ranks_of(path), pattern)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -265,9 +270,7 @@ def encode(
     return add_from_text(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
 
 
-def decode(
-    df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded"
-) -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add the bytes that ``ids`` stand for as ``decoded`` (binary).
 
     Null or no ids give no bytes.  An id outside the vocabulary, or null inside
@@ -275,10 +278,10 @@ def decode(
     """
 
     def make():
-        own = codec(path, pattern)
+        token = {rank: data for data, rank in ranks_of(path).items()}.__getitem__
 
         def work(lists: pa.Array) -> list[pa.Array]:
-            return [pa.array([own.decode(row or ()) for row in lists.to_pylist()], pa.binary())]
+            return [pa.array([b"".join(map(token, row or ())) for row in lists.to_pylist()], pa.binary())]
 
         return work
 

@@ -6,17 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnloom.llm import bpe
+from txnloom.llm import bpe, packing, pii, quality, toxicity
 from txnloom.llm.shared import table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text to ids and back, with digests of both."""
     path, pattern = public_tokenizers.path(MULTI_RANKS), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe.decode(bpe.encode(docs, path, pattern).drop("text"), path, pattern)
+    both = bpe.decode(bpe.encode(docs, path, pattern).drop("text"), path)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -25,5 +26,54 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, with the verdict of each language's threshold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id",
+        (toxicity.fold_of("doc_id") == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.DECISION).cast("int").alias("predicted"),
+        (F.col("score") >= toxicity.threshold(model)).alias("rejected"),
+    )
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and guaranteed verdict of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the personal data in all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs).drop("text")
+    base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    return found.select(
+        "doc_id",
+        *[pii.count_of(kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS],
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("pii")).alias("spans"),
+    )
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A place in a sequence of 2048 tokens for every piece of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = packing.pieces(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    return packing.pack(cut.drop("ids"), ["doc_id", "piece"], rows_expected=docs.count())
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_toxicity": op2_toxicity,
+    "op5_quality": op5_quality,
+    "op8_pii": op8_pii,
+    "op9_packing": op9_packing,
+}
 ORACLES: dict[str, str] = {}
