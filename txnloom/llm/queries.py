@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnloom.llm import bpe, packing, pii, quality, toxicity
-from txnloom.llm.shared import table
+from txnloom.llm import bpe, jaccard, lines, neighbours, packing, pii, quality, suffixes, toxicity, warc
+from txnloom.llm.shared import ship, table, written
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k.json"
@@ -40,6 +43,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the 200-byte strings that occur elsewhere, as digest."""
+    done = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and guaranteed verdict of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -69,11 +78,74 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut.drop("ids"), ["doc_id", "piece"], rows_expected=docs.count())
 
 
-QUERIES = {
-    "op1_bpe": op1_bpe,
-    "op2_toxicity": op2_toxicity,
-    "op5_quality": op5_quality,
-    "op8_pii": op8_pii,
-    "op9_packing": op9_packing,
-}
-ORACLES: dict[str, str] = {}
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and component of every document."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup leaves of every document."""
+    done = lines.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id",
+        F.col("removed_lines").cast("long").alias("n_removed_lines"),
+        F.length("text").cast("long").alias("n_chars_left"),
+        F.sha2("text", 256).alias("left_sha256"),
+    )
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of a damaged replica of the pages' records.
+
+    The replica is a copy in which records of some pages have a byte changed,
+    are cut short, or are missing; the audit has to find them all.
+    """
+    pages = table(spark, sf_dir, "pages")
+    records = written(warc.records(pages, pages.count()), "warc")
+    byte = F.lit(b"?")
+    damaged = (
+        F.when(F.col("page_id") % 97 == 3, F.concat(byte, F.substring("data", 2, 2**31 - 1)))
+        .when(F.col("page_id") % 101 == 5, F.expr("substring(data, 1, octet_length(data) - 1)"))
+        .otherwise(F.col("data"))
+    )
+    replica = records.filter("page_id IS NULL OR page_id % 103 <> 7").withColumn("data", damaged)
+    return warc.audit(records, replica).select("page_id", "status", F.col("length").alias("n_bytes"))
+
+
+OP10_SQL = """
+SELECT page_id,
+    CASE WHEN page_id % 103 = 7 THEN 'missing'
+        WHEN page_id % 97 = 3 OR page_id % 101 = 5 THEN 'changed' ELSE 'intact' END AS status,
+    CAST(strlen(concat('WARC/1.0', url, coalesce(html, ''), coalesce(CAST(page_id AS VARCHAR), 'none'),
+        CAST(strlen(coalesce(html, '')) AS VARCHAR))) + 120 AS BIGINT) AS n_bytes
+FROM pages
+"""
+
+def _shipped(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(run)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return run(spark, sf_dir)
+
+    return query
+
+
+_ALL = (
+    op1_bpe,
+    op2_toxicity,
+    op3_jaccard,
+    op4_suffixes,
+    op5_quality,
+    op6_neighbours,
+    op7_lines,
+    op8_pii,
+    op9_packing,
+    op10_warc,
+)
+QUERIES = {run.__name__: _shipped(run) for run in _ALL}
+ORACLES = {"op10_warc": OP10_SQL}

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +24,23 @@ BLANKS = " \t\n\x0b\x0c\r"
 ROWS_AT_ONCE = 256
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to executors on which it is not installed, once per session."""
+    context = spark.sparkContext
+    if getattr(context, "_txnloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    # The driver serves the archive to the executors for as long as it runs.
+    folder = tempfile.mkdtemp(prefix="txnloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / f"txnloom-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted((root / "txnloom").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    context.addPyFile(str(archive))
+    context._txnloom_shipped = True
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir`` and read it back.
 
