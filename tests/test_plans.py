@@ -52,7 +52,7 @@ def test_windows_have_keys(plans):
 
 
 def test_newest_rows_need_no_full_sort(plans):
-    for name in ("latest_rows", "recent_scored", "audit_recent", "type_distribution"):
+    for name in ("latest_rows", "recent_scored", "audit_recent"):
         assert "TakeOrderedAndProject" in plans[name], name
 
 

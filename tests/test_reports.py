@@ -1,5 +1,6 @@
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 from samples import HIGH, LOW, frame
 
@@ -18,11 +19,18 @@ def test_newest_first(spark):
     assert [r["event_id"] for r in reports.latest_rows(rows, 2).collect()] == ["2", "1"]
     both = rows.withColumn("curated_timestamp", -F.col("event_id").cast("int"))
     assert [r["event_id"] for r in reports.latest_rows(both, 2).collect()] == ["1", "2"]
-    assert reports.latest_rows(spark.range(9), 3).count() == 3
-
-
-def test_limits_are_clamped():
-    assert [reports.clamp(n, 200) for n in (-5, 0, 7, 999)] == [1, 1, 7, 200]
+    newest, total = reports.latest_and_total(rows, 1)
+    assert [r["event_id"] for r in newest.collect()] == ["2"] and total == 2
+    with pytest.raises(ValueError, match="recency"):
+        reports.latest_rows(spark.range(9), 3)
+
+
+def test_limits_are_used_as_given(spark):
+    log = spark.range(700).selectExpr("string(id) AS event_id", "string(id) AS scored_at")
+    assert reports.recent_scored(log, 500).count() == 500
+    for limit in (0, -5):
+        with pytest.raises(ValueError, match="limit"):
+            reports.recent_scored(log, limit)
 
 
 def test_distribution_names_missing_values(spark):

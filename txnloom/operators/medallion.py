@@ -29,9 +29,7 @@ def decode(messages: DataFrame, value: str = "value") -> DataFrame:
     nothing = F.coalesce(*[F.col(f"r.{n}").cast("string") for n in CANONICAL_EVENT.names]).isNull()
     return messages.select(text.alias("raw_event"), record.alias("r")).select(
         *[F.col(f"r.{name}") for name in CANONICAL_EVENT.names],
-        (F.col("r").isNull() | (F.col(f"r.{_UNREADABLE}").isNotNull() & nothing)).alias(
-            "is_malformed"
-        ),
+        (F.col("r").isNull() | nothing).alias("is_malformed"),
         "raw_event",
         F.try_to_timestamp("r.event_time").alias("event_timestamp"),
         F.current_timestamp().alias("ingestion_timestamp"),

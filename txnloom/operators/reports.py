@@ -37,13 +37,11 @@ AUDIT_VIEW = (
 )
 
 
-def clamp(limit: int, most: int) -> int:
-    return max(1, min(int(limit), most))
-
-
 def newest(df: DataFrame, limit: int, *order: str) -> DataFrame:
     """The ``limit`` newest rows.  Spark keeps a heap per task for this plan
     (TakeOrderedAndProject), so no full sort or shuffle of the table happens."""
+    if limit < 1:
+        raise ValueError(f"limit must be 1 or more, not {limit}")
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(limit)
 
 
@@ -52,15 +50,20 @@ def latest_rows(df: DataFrame, limit: int = 100, tie: str = "event_id") -> DataF
     for name in RECENCY_COLUMNS:
         if name in df.columns:
             return newest(df, limit, name, *([tie] if tie in df.columns else []))
-    return df.limit(limit)
+    raise ValueError(f"no recency column among {', '.join(df.columns)}")
+
+
+def latest_and_total(df: DataFrame, limit: int = 100) -> tuple[DataFrame, int]:
+    """The newest rows and the number of all rows of a table."""
+    return latest_rows(df, limit), df.count()
 
 
 def recent_scored(log: DataFrame, limit: int = 20) -> DataFrame:
-    return newest(log, clamp(limit, 200), "scored_at", "event_id")
+    return newest(log, limit, "scored_at", "event_id")
 
 
 def recent_audit(audit: DataFrame, limit: int = 50) -> DataFrame:
-    return newest(audit, clamp(limit, 500), "created_at", "event_id").select(*AUDIT_VIEW)
+    return newest(audit, limit, "created_at", "event_id").select(*AUDIT_VIEW)
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
@@ -73,12 +76,11 @@ def average_by(df: DataFrame, key: str, measure: str, name: str) -> DataFrame:
     return df.groupBy(key).agg(F.avg(measure).alias(name))
 
 
-def type_distribution(log: DataFrame, limit: int = 200) -> DataFrame:
-    """Types among the newest scored rows, with the latest event time seen."""
-    recent = newest(log, limit, "scored_at", "event_id").select("type", "event_time")
+def type_distribution(log: DataFrame) -> DataFrame:
+    """Types among all scored rows, with the latest event time seen."""
     kind = F.coalesce(F.nullif("type", F.lit("")), F.lit(UNKNOWN))
     return (
-        recent.groupBy(kind.alias("type"))
+        log.groupBy(kind.alias("type"))
         .agg(F.count("*").alias("count"), F.max("event_time").alias("latest_event_time"))
         .orderBy("type")
     )

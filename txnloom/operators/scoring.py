@@ -12,7 +12,7 @@ from txnloom.functions.decisions import alert_text, final_decision, joined_rules
 from txnloom.functions.features import balance_features
 from txnloom.functions.rules import risk_columns
 from txnloom.operators.quality import check_types
-from txnloom.schemas import CANONICAL_EVENT, PREDICTION, TRANSACTION_TYPES
+from txnloom.schemas import CANONICAL_EVENT, PREDICTION
 
 PROBABILITY = "fraud_probability"
 PROBABILITY_DIGITS = 4
@@ -47,6 +47,11 @@ def decide(df: DataFrame) -> DataFrame:
     )
 
 
+def known_types(model: PipelineModel) -> tuple[str, ...]:
+    """The transaction types a model was fitted on."""
+    return tuple(model.stages[0].labels)
+
+
 def predict_probability(df: DataFrame, model: PipelineModel) -> DataFrame:
     """Add the model's probability of the positive class, in the JVM."""
     kept = [c for c in df.columns if c != PROBABILITY]
@@ -59,15 +64,19 @@ def predict_probability(df: DataFrame, model: PipelineModel) -> DataFrame:
 def score(
     df: DataFrame,
     model: PipelineModel,
-    allowed_types: tuple[str, ...] = TRANSACTION_TYPES,
+    allowed_types: tuple[str, ...] | None = None,
     mode: str = "reject",
 ) -> DataFrame:
     """Input columns plus the seven prediction columns.
 
-    Rows of an unknown type cannot be scored: ``reject`` leaves them out (take
-    them from ``quality.check_types``), ``fail`` stops the job.
+    Rows of a type the model was not fitted on (or not in ``allowed_types``)
+    cannot be scored: ``reject`` leaves them out (take them from
+    ``quality.check_types``), ``fail`` stops the job.
     """
-    checked = check_types(df, allowed_types, mode)
+    known = known_types(model)
+    if allowed_types is not None:
+        known = tuple(t for t in known if t in allowed_types)
+    checked = check_types(df, known, mode)
     if mode == "reject":
         checked = checked.filter(F.col("type_error").isNull()).drop("type_error")
     return decide(apply_rules(predict_probability(checked, model)))

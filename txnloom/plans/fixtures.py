@@ -154,7 +154,7 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event JSON with faults by event id: %11 no amount, %13 amount as text,
-    %17 truncated text, %19 null step."""
+    %17 truncated text, %19 null step, %23 an empty object, %31 a foreign one."""
     events = event_stream(spark, sf_dir).drop("event_timestamp")
     n = F.col("event_id").cast("bigint")
     text = F.to_json(F.struct("*"))
@@ -167,6 +167,7 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ):
         chosen = F.when(n % divisor == 0, F.lit(pattern)).otherwise(F.lit("$^"))
         text = F.regexp_replace(text, chosen, F.lit(replacement))
+    text = F.when(n % 23 == 0, "{}").when(n % 31 == 0, '{"foo":1}').otherwise(text)
     return events.select(F.col("event_id").alias("key"), text.alias("value"))
 
 

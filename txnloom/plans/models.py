@@ -402,6 +402,6 @@ def score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         lake,
         once=True,
     ).awaitTermination()
-    return spark.read.format(lake.format).load(f"{root}/logs/scored").drop("batch_id")
+    return spark.read.format(lake.format).load(f"{root}/logs/scored").drop("query", "batch_id")
 
 

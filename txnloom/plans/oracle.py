@@ -68,6 +68,8 @@ hits AS (
 MESSAGE_CTE = """
 msg AS (
     SELECT ev.*, CAST(event_id AS BIGINT) AS n,
+        CAST(event_id AS BIGINT) % 17 = 0 OR CAST(event_id AS BIGINT) % 23 = 0
+            OR CAST(event_id AS BIGINT) % 31 = 0 AS no_event,
         CASE WHEN CAST(event_id AS BIGINT) % 11 = 0 OR CAST(event_id AS BIGINT) % 13 = 0
             THEN NULL ELSE amount END AS read_amount,
         CASE WHEN CAST(event_id AS BIGINT) % 19 = 0 THEN NULL ELSE step END AS read_step
@@ -76,12 +78,15 @@ msg AS (
     SELECT event_id, event_time, source_dataset, read_step AS step, type, read_amount AS amount,
         sender_id, receiver_id, oldbalanceOrg, newbalanceOrig, oldbalanceDest, newbalanceDest,
         isFlaggedFraud, isFraud, event_timestamp
-    FROM msg WHERE n % 17 <> 0
+    FROM msg WHERE NOT no_event
 )
 """
 
 REASON = """
-    CASE WHEN n % 17 = 0 THEN 'event is not valid JSON'
+    CASE WHEN n % 23 = 0 OR n % 31 = 0 THEN 'event missing required fields: event_id, '
+            || 'event_time, source_dataset, step, type, amount, oldbalanceOrg, newbalanceOrig, '
+            || 'oldbalanceDest, newbalanceDest, isFlaggedFraud'
+        WHEN n % 17 = 0 THEN 'event is not valid JSON'
         WHEN n % 19 = 0 AND n % 11 = 0 THEN 'event missing required fields: step, amount'
         WHEN n % 19 = 0 THEN 'event missing required fields: step'
         WHEN n % 11 = 0 THEN 'event missing required fields: amount'

@@ -149,7 +149,7 @@ def safe_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL
         SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
             NULL, TRUE
-        FROM msg WHERE n % 17 = 0
+        FROM msg WHERE no_event
         """
     ),
 )
@@ -395,10 +395,10 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     "dead_letters",
     over_messages(
         f"""
-        SELECT CASE WHEN n % 17 <> 0 THEN event_id END AS event_id,
-            CASE WHEN n % 17 <> 0 THEN source_dataset END AS source_dataset,
+        SELECT CASE WHEN NOT no_event THEN event_id END AS event_id,
+            CASE WHEN NOT no_event THEN source_dataset END AS source_dataset,
             {REASON} AS error_message
-        FROM msg WHERE n % 17 = 0 OR n % 19 = 0 OR n % 11 = 0 OR n % 13 = 0
+        FROM msg WHERE no_event OR n % 19 = 0 OR n % 11 = 0 OR n % 13 = 0
         """
     ),
 )
@@ -411,9 +411,9 @@ def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     "error_messages",
     over_messages(
         f"""
-        SELECT CASE WHEN n % 17 <> 0 THEN event_id ELSE 'unknown' END AS key,
+        SELECT CASE WHEN NOT no_event THEN event_id ELSE 'unknown' END AS key,
             {REASON} AS error_message
-        FROM msg WHERE n % 17 = 0 OR n % 19 = 0 OR n % 11 = 0 OR n % 13 = 0
+        FROM msg WHERE no_event OR n % 19 = 0 OR n % 11 = 0 OR n % 13 = 0
         """
     ),
 )

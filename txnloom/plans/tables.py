@@ -225,7 +225,7 @@ def lake_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "raw_replay",
     over_messages(
-        "SELECT n % 17 = 0 AS is_malformed, count(*) AS messages FROM msg GROUP BY n % 17 = 0"
+        "SELECT no_event AS is_malformed, count(*) AS messages FROM msg GROUP BY no_event"
     ),
 )
 def raw_replay(spark: SparkSession, sf_dir: str) -> DataFrame:

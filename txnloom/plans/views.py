@@ -87,13 +87,12 @@ def avg_probability_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     over_features(
         f"""
         SELECT type, round(avg(amount), 5) AS average_amount
-        FROM (SELECT type, amount FROM feat {_BEST_FIRST} LIMIT 100) GROUP BY type
+        FROM feat GROUP BY type
         """
     ),
 )
 def avg_amount_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = reports.latest_rows(silver_rows(spark, sf_dir), 100)
-    means = reports.average_by(newest, "type", "amount", "average_amount")
+    means = reports.average_by(silver_rows(spark, sf_dir), "type", "amount", "average_amount")
     return means.withColumn("average_amount", F.round("average_amount", 5))
 
 
@@ -116,7 +115,7 @@ def feature_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     over_decisions(
         f"""
         SELECT type, count(*) AS count, max(event_time) AS latest_event_time
-        FROM (SELECT type, event_time FROM dec {_BEST_FIRST} LIMIT 200) GROUP BY type
+        FROM dec GROUP BY type
         """
     ),
 )

@@ -39,20 +39,15 @@ def read_csv(spark: SparkSession, path: str, layout: T.StructType | None = None)
     return raw.select(*columns)
 
 
-def _head(df: DataFrame, max_records: int | None) -> DataFrame:
-    return df.limit(int(max_records)) if max_records else df
-
-
-def load_paysim(spark: SparkSession, path: str, max_records: int | None = None) -> DataFrame:
+def load_paysim(spark: SparkSession, path: str) -> DataFrame:
     """PaySim file as canonical events."""
-    return normalize_paysim(_head(read_csv(spark, path, PAYSIM_FILE), max_records))
+    return normalize_paysim(read_csv(spark, path, PAYSIM_FILE))
 
 
 def load_ieee(
     spark: SparkSession,
     transactions: str,
     identity: str | None = None,
-    max_records: int | None = None,
 ) -> DataFrame:
     """IEEE-CIS files as canonical events; the identity file is optional."""
     rows = read_csv(spark, transactions, IEEE_FILE)
@@ -62,21 +57,20 @@ def load_ieee(
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-    return normalize_ieee(_head(rows, max_records))
+    return normalize_ieee(rows)
 
 
 def load_transactions(
     spark: SparkSession,
     dataset: str,
     paths: Sequence[str],
-    max_records: int | None = None,
 ) -> DataFrame:
     """Canonical events of a named dataset: ``paysim`` or ``ieee``."""
     name = dataset.strip().lower()
     if name == "paysim":
-        return load_paysim(spark, paths[0], max_records)
+        return load_paysim(spark, paths[0])
     if name == "ieee":
-        return load_ieee(spark, *paths[:2], max_records=max_records)
+        return load_ieee(spark, *paths[:2])
     raise ValueError("dataset must be either 'paysim' or 'ieee'")
 
 

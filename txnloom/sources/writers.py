@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
 from txnloom.config import Channel
@@ -18,13 +18,42 @@ def append(
     (writer.partitionBy(*by) if by else writer).save(path)
 
 
+def streaming_query_id(spark: SparkSession) -> str:
+    """Id of the streaming query whose micro-batch runs; it lives as long as its checkpoint."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int, table_format: str = "parquet") -> None:
     """Write one micro-batch so that a repeated batch replaces itself.
 
-    Each batch owns the folder ``batch_id=<n>``.  A restart that replays a
-    batch overwrites that folder, which makes file output effectively once.
+    Batch numbers start again with every new checkpoint, so the query's id is
+    part of the key.  Delta keeps one table and skips a transaction it has
+    (``txnAppId``, ``txnVersion``); for plain files the batch owns the folder
+    ``query=<id>/batch_id=<n>``, which a replay overwrites.  Partition discovery
+    reads both columns from the path; ``compact_batches`` joins old folders.  An
+    empty batch leaves nothing.
+    """
+    if df.isEmpty():
+        return
+    query = streaming_query_id(df.sparkSession)
+    if table_format == "delta":
+        once = {"txnAppId": f"{query}:{path}", "txnVersion": str(batch_id)}
+        df.write.format("delta").mode("append").options(**once).save(path)
+    else:
+        target = f"{path}/query={query}/batch_id={batch_id}"
+        df.write.format(table_format).mode("overwrite").save(target)
+
+
+def compact_batches(
+    spark: SparkSession, path: str, target: str, table_format: str = "parquet", files: int = 1
+) -> None:
+    """Copy all batch folders below ``path`` into one table of few files.
+
+    Run it on a stopped or archived sink and read ``target`` afterwards; the
+    folders stay until the deployment removes them.
     """
-    df.write.format(table_format).mode("overwrite").save(f"{path}/batch_id={batch_id}")
+    rows = spark.read.format(table_format).load(path)
+    rows.repartition(files).write.format(table_format).mode("overwrite").save(target)
 
 
 def append_log(df: DataFrame, path: str) -> None:

@@ -72,8 +72,6 @@ def gold_batch_writer(lake: Lake) -> Callable[[DataFrame, int], None]:
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         write_batch(medallion.gold(batch), lake.table("gold"), batch_id, lake.format)
 
     return write
@@ -165,7 +163,7 @@ def score_batch_writer(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        triaged = triage(batch).persist()
+        triaged = triage(batch, allowed=scoring.known_types(model)).persist()
         good, bad = split_triaged(triaged)
         scored = explain(scoring.score(good, model), model)
         checked = check_scored(scored.withColumn("scored_at", utc_now_text())).persist()
