@@ -11,7 +11,7 @@ from txnloom.plans.catalog import ENTRIES
 ACTIONS = {
     "stream_bronze", "stream_silver", "stream_windows", "gold_merged", "scored_decisions",
     "lake_summary", "raw_replay", "train_rf", "train_gbt", "score_batch", "score_stream",
-    "explain_topk",
+    "explain_topk", "commit_log_counts",
 }
 NAMES = sorted(set(ENTRIES) - ACTIONS)
 

@@ -191,25 +191,6 @@ def test_lake_summary_finds_the_second_location(spark, lake):
     assert lake_ops.resolve_table(spark, lake, "silver")[1] is None
 
 
-def test_commit_log(spark, tmp_path):
-    log = tmp_path / "t" / "_delta_log"
-    log.mkdir(parents=True)
-
-    def add(path, n):
-        return json.dumps({"add": {"path": path, "stats": json.dumps({"numRecords": n})}})
-
-    (log / "0.json").write_text("\n".join([
-        add("a", 10), add("b", 5), "broken", '{"commitInfo":{}}', '{"add":{"path":"c"}}',
-        '{"add":{"path":"d","stats":"broken"}}',
-    ]))
-    (log / "1.json").write_text("\n".join([add("e", 15), '{"remove":{"path":"a"}}',
-                                           '{"remove":{"path":"b"}}']))
-    row = lake_ops.commit_log_counts(lake_ops.read_commit_log(spark, str(tmp_path / "t"))).first()
-    assert (row["added_records"], row["live_records"]) == (30, 15)
-    assert (row["add_actions"], row["remove_actions"]) == (5, 2)
-    assert row["latest_commit"] is not None
-
-
 def test_table_profile(spark):
     got = lake_ops.table_profile(spark.range(4).withColumn("x", F.lit("a"))).collect()
     assert [tuple(r) for r in got] == [(0, "id", "bigint", 4), (1, "x", "string", 4)]

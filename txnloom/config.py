@@ -6,7 +6,6 @@ tests use file streams and parquet.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass, field
 
@@ -68,15 +67,13 @@ class Lake:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder.
+    Without that setting it is a folder below the warehouse, which executors
+    share as well.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    fallback = f"file://{tempfile.gettempdir()}/txnloom-checkpoints"
-    return fallback
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_txnloom"
 
 
 def ensure_checkpointing(spark: SparkSession) -> None:
@@ -86,5 +83,9 @@ def ensure_checkpointing(spark: SparkSession) -> None:
 
 
 def new_workspace(spark: SparkSession, purpose: str) -> str:
-    """A fresh, shared folder for one run of a job."""
+    """A fresh, shared folder for one run of a job.
+
+    Results may still read from it after the job has returned, so nothing here
+    deletes it: the deployment empties ``spark.checkpoint.dir`` between runs.
+    """
     return f"{shared_dir(spark)}/txnloom/{purpose}-{uuid.uuid4().hex}"

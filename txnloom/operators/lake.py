@@ -103,46 +103,3 @@ def lake_summary(spark: SparkSession, lake: Lake) -> DataFrame:
         F.bool_or("table_exists").alias("available"),
         F.max("latest_ingestion").alias("latest_ingestion"),
     )
-
-
-def read_commit_log(spark: SparkSession, table_path: str) -> DataFrame:
-    """Commit-log lines of a table with the commit file's time."""
-    return spark.read.text(f"{table_path}/_delta_log/*.json").select(
-        "value", F.col("_metadata.file_modification_time").alias("committed_at")
-    )
-
-
-def commit_log_counts(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Rows according to the commit log: records added and records still live.
-
-    ``added_records`` sums every added file.  ``live_records`` leaves out files
-    removed later: actions are grouped by file path, so the work spreads over
-    the cluster and no list of files is held in one place.  A line that is not
-    JSON, or an add without statistics, counts as 0.
-    """
-    action = F.try_parse_json(F.col(value))
-    stats = F.try_parse_json(F.try_variant_get(action, "$.add.stats", "string"))
-    actions = lines.select(
-        F.try_variant_get(action, "$.add.path", "string").alias("added"),
-        F.try_variant_get(action, "$.remove.path", "string").alias("removed"),
-        F.coalesce(F.try_variant_get(stats, "$.numRecords", "bigint"), F.lit(0)).alias("records"),
-        *(["committed_at"] if "committed_at" in lines.columns else []),
-    ).filter("added IS NOT NULL OR removed IS NOT NULL")
-    latest = (
-        [F.max("committed_at").alias("latest_commit")] if "committed_at" in lines.columns else []
-    )
-    per_file = actions.groupBy(F.coalesce("added", "removed").alias("file")).agg(
-        F.sum("records").alias("records"),
-        F.max("records").alias("file_records"),
-        F.count_if(F.col("added").isNotNull()).alias("adds"),
-        F.count_if(F.col("removed").isNotNull()).alias("removes"),
-        *latest,
-    )
-    live = F.col("adds") > F.col("removes")
-    return per_file.agg(
-        F.coalesce(F.sum("records"), F.lit(0)).alias("added_records"),
-        F.coalesce(F.sum(F.when(live, F.col("file_records"))), F.lit(0)).alias("live_records"),
-        F.coalesce(F.sum("adds"), F.lit(0)).alias("add_actions"),
-        F.coalesce(F.sum("removes"), F.lit(0)).alias("remove_actions"),
-        *([F.max("latest_commit").alias("latest_commit")] if latest else []),
-    )

@@ -16,6 +16,11 @@ def build_session(name: str = "txnloom", **settings: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Open windows and other state lie on local disk instead of the heap.
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
     )
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
