@@ -42,6 +42,11 @@ class Channel:
             },
         )
 
+    def with_rate(self, amount: int) -> Channel:
+        """The source in micro-batches of ``amount`` offsets (Kafka) or files at most."""
+        name = "maxOffsetsPerTrigger" if self.format == "kafka" else "maxFilesPerTrigger"
+        return Channel(self.format, {**self.options, name: str(amount)}, self.path)
+
     @staticmethod
     def kafka_sink(servers: str, topic: str) -> Channel:
         return Channel("kafka", {"kafka.bootstrap.servers": servers, "topic": topic})

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
-from txnloom.config import Channel
+from txnloom.config import Channel, new_workspace
 
 
 def append(
@@ -18,6 +18,14 @@ def append(
     (writer.partitionBy(*by) if by else writer).save(path)
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` to the shared scratch space and read it back, so that it is computed once."""
+    spark = df.sparkSession
+    path = new_workspace(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def streaming_query_id(spark: SparkSession) -> str:
     """Id of the streaming query whose micro-batch runs; it lives as long as its checkpoint."""
     return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"

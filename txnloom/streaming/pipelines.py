@@ -220,6 +220,8 @@ def start_scoring(
     lake: Lake,
     once: bool,
 ) -> StreamingQuery:
+    """Score a channel.  ``Channel.with_rate`` bounds the size of a micro-batch,
+    which is kept while it is written; nothing is left out, it comes later."""
     write = score_batch_writer(model, scored_sink, errors_sink, lake)
     return _start_batches(stream_messages(spark, source), write, lake.checkpoint("scoring"), once)
 
