@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnloom.config import Channel, Lake
+from txnloom.functions.features import MODEL_COLUMNS
 from txnloom.operators import drift, evaluation, scoring, splits, training
 from txnloom.operators.explain import explain
 from txnloom.plans.catalog import query
 from txnloom.plans.fixtures import event_stream, transactions
 from txnloom.plans.inputs import decided, raw_channel
-from txnloom.plans.oracle import over_decisions, over_events, over_txn
+from txnloom.plans.oracle import RULE_CTE, over_decisions, over_events, over_txn
+from txnloom.sources.writers import written
 from txnloom.streaming import pipelines
 
 RULE_SCORE = "rule_score"
@@ -354,41 +359,143 @@ def _forest(spark: SparkSession, sf_dir: str) -> PipelineModel:
     return _MODELS[key]
 
 
+def _training_sql(model: str) -> str:
+    """What a training run must report, whatever the learner finds."""
+    return over_txn(
+        f"""
+        SELECT '{model}' AS model, '{splits.TEMPORAL}' AS strategy,
+            count(*) FILTER (part = 'train') AS train_rows,
+            CAST(sum(isFraud) FILTER (part = 'train') AS BIGINT) AS train_positives,
+            count(*) FILTER (part = 'test') AS confusion_total,
+            CAST(sum(isFraud) FILTER (part = 'test') AS BIGINT) AS confusion_positives,
+            TRUE AS metrics_in_range, TRUE AS better_than_chance
+        FROM (
+            SELECT isFraud, CASE WHEN row_number() OVER (ORDER BY step, {_HASH.format(key="event_id")})
+                <= CAST(floor((SELECT count(*) FROM txn) * 0.8::DOUBLE) AS BIGINT)
+                THEN 'train' ELSE 'test' END AS part
+            FROM txn
+        )
+        """
+    )
+
+
 def _run(spark: SparkSession, sf_dir: str, name: str, fit, params: dict) -> DataFrame:
-    split, _ = splits.validation_split(transactions(spark, sf_dir).drop("fraud_probability"))
+    """A training run: its parts, the confusion counts on the held-out rows, its metrics."""
+    split, strategy = splits.validation_split(transactions(spark, sf_dir).drop("fraud_probability"))
     train, test = splits.parts(split)
     model = fit(train)
-    metrics = training.evaluate(model, test)
-    candidate = training.Candidate(name, model, params, metrics)
-    run = training.run_records(split, [candidate])
-    return run.select("model", F.explode("metrics").alias("metric", "value"), "selection_score")
+    scored = written(
+        scoring.predict_probability(test, model).select(training.LABEL, scoring.PROBABILITY), "held-out"
+    )
+    candidate = training.Candidate(name, model, params, training.measures(scored))
+    metrics = training.run_records(split, [candidate]).select("model", "metrics", "selection_score")
+    at_half = evaluation.threshold_report(scored, scoring.PROBABILITY, training.LABEL).filter(
+        F.col("threshold") == 0.5
+    )
+    counts = train.agg(
+        F.count("*").alias("train_rows"), F.sum(F.col(training.LABEL).cast("bigint")).alias("train_positives")
+    )
+    kinds = [f"{side}_{sign}" for side in ("true", "false") for sign in ("positives", "negatives")]
+    total = sum((F.col(k) for k in kinds[1:]), F.col(kinds[0]))
+    values = F.map_values("metrics")
+    inside = F.forall(F.concat(values, F.array("selection_score")), lambda v: (v >= 0) & (v <= 1))
+    one = F.lit(1).alias("_one")
+    joined = metrics.select("*", one).join(at_half.select(*kinds, one), "_one").join(counts.select("*", one), "_one")
+    return joined.select(
+        "model",
+        F.lit(strategy).alias("strategy"),
+        "train_rows",
+        "train_positives",
+        total.cast("bigint").alias("confusion_total"),
+        (F.col("true_positives") + F.col("false_negatives")).cast("bigint").alias("confusion_positives"),
+        inside.alias("metrics_in_range"),
+        (F.col("metrics")["roc_auc"] > 0.5).alias("better_than_chance"),
+    )
 
 
-@query("train_rf")
+@query("train_rf", _training_sql("random_forest"))
 def train_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, "random_forest", training.train_forest, training.FOREST)
 
 
-@query("train_gbt")
+@query("train_gbt", _training_sql("boosted_trees"))
 def train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, "boosted_trees", training.train_boosted, training.BOOSTED)
 
 
-@query("score_batch")
+def _follows(probability: str, tolerance: float = 0.0, alert: bool = True) -> Column:
+    """Whether level, decision and alert follow from the probability and the rules.
+
+    The SQL side of these queries states only that they do for every row.  With
+    a tolerance, a probability that near a limit may fall on either side.
+    """
+    p, rules = F.col(probability), F.col("rule_risk_score")
+
+    def expected(high: Column, middle: Column) -> Column:
+        level = F.when(high, "HIGH").when(middle, "MEDIUM").otherwise("LOW")
+        text = (
+            F.when(high, "Fraud suspected").when(middle, "Manual review required").otherwise("Transaction looks normal")
+        )
+        decision = (
+            F.when(high | (rules >= 70), "BLOCK / MANUAL REVIEW")
+            .when(middle | (rules >= 40), "MANUAL REVIEW")
+            .otherwise("APPROVE")
+        )
+        same = (F.col("risk_level") == level) & (F.col("final_decision") == decision)
+        return same & (F.col("alert") == text) if alert else same
+
+    shifts = (0.0, tolerance, -tolerance) if tolerance else (0.0,)
+    return reduce(or_, [expected(p >= 0.8 + d, p >= 0.5 + d) for d in shifts])
+
+
+@query(
+    "score_batch",
+    over_decisions("SELECT event_id, rule_risk_score, rule_risk_level, triggered_rules, TRUE AS follows FROM dec"),
+)
 def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = transactions(spark, sf_dir).drop("fraud_probability")
-    return scoring.flat_result(scoring.score(rows, _forest(spark, sf_dir)))
+    model = _forest(spark, sf_dir)
+    scored = scoring.flat_result(scoring.score(rows, model))
+    # Levels hold for the unrounded probability; the model gives it again.
+    exact = scoring.predict_probability(scored.withColumnRenamed(scoring.PROBABILITY, "_rounded"), model)
+    near = F.abs(F.col("_rounded") - F.col(scoring.PROBABILITY)) <= 1e-4
+    return exact.select(
+        "event_id",
+        "rule_risk_score",
+        "rule_risk_level",
+        "triggered_rules",
+        (_follows(scoring.PROBABILITY) & near).alias("follows"),
+    )
 
 
-@query("explain_topk")
+@query(
+    "explain_topk",
+    over_txn("SELECT event_id, CAST(rank AS INTEGER) AS rank, TRUE AS is_row_value FROM txn, range(1, 6) AS r(rank)"),
+)
 def explain_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    explained = explain(transactions(spark, sf_dir), _forest(spark, sf_dir))
-    return explained.select("event_id", F.explode("explanation").alias("e")).select(
-        "event_id", "e.*"
+    model = _forest(spark, sf_dir)
+    rows = scoring.add_features(transactions(spark, sf_dir))
+    explained = explain(rows, model).select(*rows.columns, F.posexplode("explanation").alias("place", "e"))
+    types = F.array(*[F.lit(t) for t in scoring.known_types(model)])
+    numbers = [
+        F.struct(F.lit(n).alias("k"), (F.array_position(types, F.col(n)) - 1 if n == "type" else F.col(n)).cast("double").alias("v"))
+        for n in MODEL_COLUMNS
+    ]
+    own = F.map_from_entries(F.array(*numbers))[F.col("e.feature")]
+    return explained.select(
+        "event_id", (F.col("place") + 1).alias("rank"), own.eqNullSafe(F.col("e.feature_value")).alias("is_row_value")
     )
 
 
-@query("score_stream")
+@query(
+    "score_stream",
+    over_events(
+        "SELECT event_id, type, rule_risk_score, rule_risk_level, TRUE AS follows FROM ruled WHERE "
+        + " AND ".join(f"CAST(event_id AS BIGINT) % {n} <> 0" for n in (11, 13, 17, 19, 23, 31)),
+        "feat AS (SELECT evf.*, 0.0::DOUBLE AS fraud_probability FROM evf)",
+        RULE_CTE,
+    ),
+)
 def score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw channel to scored channel, logs and dead letters in one stream."""
     channel, root = raw_channel(spark, sf_dir, "score_stream")
@@ -402,6 +509,7 @@ def score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         lake,
         once=True,
     ).awaitTermination()
-    return spark.read.format(lake.format).load(f"{root}/logs/scored").drop("query", "batch_id")
-
-
+    scored = spark.read.format(lake.format).load(f"{root}/logs/scored")
+    return scored.select(
+        "event_id", "type", "rule_risk_score", "rule_risk_level", _follows(scoring.PROBABILITY, 1e-4, alert=False).alias("follows")
+    )
