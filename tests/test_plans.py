@@ -11,7 +11,8 @@ from txnloom.plans.catalog import ENTRIES
 ACTIONS = {
     "stream_bronze", "stream_silver", "stream_windows", "gold_merged", "scored_decisions",
     "lake_summary", "raw_replay", "train_rf", "train_gbt", "score_batch", "score_stream",
-    "explain_topk", "commit_log_counts",
+    "explain_topk", "commit_log_counts", "file_paysim", "file_training", "file_ieee", "file_requests",
+    "file_upload", "file_batch_log", "file_report", "audit_explained",
 }
 NAMES = sorted(set(ENTRIES) - ACTIONS)
 
