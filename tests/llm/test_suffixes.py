@@ -86,8 +86,11 @@ def test_many_contexts_of_one_gram():
         texts.append(bytes(copy))
     datas = [np.frombuffer(t, np.uint8) for t in texts]
     keys = Counter(suffixes._contexts(d, np.array([440])).tobytes() for d in datas)
-    few, many = list(keys), list(keys.values())
-    found = suffixes.extremes(few, many)
+    few = sorted(keys)
+    many = [keys[k] for k in few]
+    shared = suffixes.front_coded(few)[0].tolist()
+    found = suffixes.extremes(few, many, shared)
+    assert found == suffixes._few_extremes(few, many, shared)
     for key, (low, high) in zip(few, found):
         offsets = [
             o for o in range(suffixes.REACH + 1)

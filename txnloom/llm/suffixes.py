@@ -41,11 +41,12 @@ REACH = WIDTH - GRAM
 FREQUENT = 1000
 # Ranges of gram hashes for each shuffle partition, and bounds on what a task
 # holds before it sends a run (suffixes) or settles strings (digests).
-RANGES = 1
+RANGES = 3
 RUN = 60_000
 DIGESTS = 400_000
-# Contexts of one gram that are compared pair by pair; more are compared by
-# sorting once for each offset.
+# Contexts of one gram that are compared pair by pair in plain code, and in
+# arrays; more are compared by sorting once for each offset.
+FEW = 12
 PAIRWISE = 48
 
 _MULTIPLIERS = np.random.default_rng(40).integers(1 << 62, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
@@ -211,19 +212,42 @@ def merge(runs: list[Run]) -> Iterator[tuple[bytes, int, Run]]:
         best, shared = challenger, length
 
 
-def extremes(keys: list[bytes], counts: list[int]) -> list[tuple[int, int]]:
+def _few_extremes(keys: list[bytes], counts: list[int], shared: list[int]) -> list[tuple[int, int]]:
+    """``extremes`` of a few contexts, pair by pair from the lengths the merge knows."""
+    found = []
+    for key, count in zip(keys, counts, strict=True):
+        low, high = max(0, WIDTH - key[-2]), min(REACH, key[-1])
+        found.append([low, high] if count > 1 and low <= high else [WIDTH, -1])
+    for i, one in enumerate(keys):
+        right = WIDTH
+        for j in range(i + 1, len(keys)):
+            two = keys[j]
+            right = min(right, shared[j])
+            low = WIDTH - min(right, one[-2], two[-2])
+            if low > REACH:
+                continue
+            both = _shared_length(one, two, WIDTH) - WIDTH if one[WIDTH] == two[WIDTH] else 0
+            high = min(both, REACH, one[-1], two[-1])
+            if low <= high:
+                for span in (found[i], found[j]):
+                    span[0], span[1] = min(span[0], low), max(span[1], high)
+    return [(low, high) if high >= 0 else (1, 0) for low, high in found]
+
+
+def extremes(keys: list[bytes], counts: list[int], shared: list[int]) -> list[tuple[int, int]]:
     """Least and greatest offset of a repeated string around the anchor of each context.
 
-    ``keys`` are the distinct contexts of one gram, ``counts`` how often each
-    occurs.  An offset o stands for the string of WIDTH bytes that starts o
-    bytes before the anchor; (1, 0) if none is repeated.
+    ``keys`` are the distinct contexts of one gram in order, ``counts`` how
+    often each occurs, ``shared`` the length each shares with the one before.
+    An offset o stands for the string of WIDTH bytes that starts o bytes before
+    the anchor; (1, 0) if none is repeated.
     """
+    if len(keys) <= FEW:
+        return _few_extremes(keys, counts, shared)
     grid = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), _KEY)
     right, left = grid[:, -2].astype(np.int64), grid[:, -1].astype(np.int64)
     low, high = np.maximum(0, WIDTH - right), np.minimum(REACH, left)
     again = np.array(counts) > 1
-    if len(keys) == 1:
-        return [(int(low[0]), int(high[0])) if again[0] and low[0] <= high[0] else (1, 0)]
     first, last = np.where(again, low, WIDTH), np.where(again, high, -1)
     last = np.where(first > last, -1, last)
     first = np.where(last < 0, WIDTH, first)
@@ -280,11 +304,11 @@ def _strings(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return both, starts
 
 
-_ROW = "part int, one bigint, two bigint, shared binary, rest binary, counts binary, documents binary, places binary"
-_NAMES = ["part", "one", "two", "shared", "rest", "counts", "documents", "places"]
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
-# Numbers in ``part`` of rows that are not runs.
-_SETTLED, _DIGEST = -2, -1
+_ROW = "part int, document bigint, shared binary, rest binary, counts binary, documents binary, places binary"
+_NAMES = ["part", "document", "shared", "rest", "counts", "documents", "places"]
+_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+# ``part`` of spans that are settled; runs of range r have 2r, its digests 2r + 1.
+_SETTLED = -1
 
 
 class _Sender:
@@ -327,7 +351,7 @@ class _Sender:
             counts = np.array([len(found[k]) for k in keys], np.int32)
             members = np.array([m for k in keys for m in found[k]], np.int64)
             blobs = (shared, rest, counts, members[:, 0], members[:, 1].astype(np.int32))
-            rows.append((part, 0, 0, *(self.pack(b if isinstance(b, bytes) else b.tobytes()) for b in blobs)))
+            rows.append((2 * part, 0, *(self.pack(b if isinstance(b, bytes) else b.tobytes()) for b in blobs)))
         self.suffixes, self.held = {}, 0
         yield from _batches(rows)
 
@@ -346,23 +370,19 @@ class _Sender:
         number = np.diff(np.append(first, len(both)))
         repeated = np.repeat(number > 1, number)
         yield from _settled(documents[repeated], starts[repeated])
-        signed = both[first].view(np.int64)
-        known = np.where(number > 1, -1, starts[first])
-        for at in range(0, len(first), 50_000):
-            here = slice(at, at + 50_000)
-            size = len(first[here])
-            empty = pa.array([None] * size, pa.binary())
-            columns = [
-                pa.array(np.full(size, _DIGEST, np.int32)),
-                pa.array(np.ascontiguousarray(signed[here, 0])),
-                pa.array(np.ascontiguousarray(signed[here, 1])),
-                empty,
-                empty,
-                empty,
-                pa.array([d.tobytes() for d in documents[first][here]], pa.binary()),
-                pa.array([p.tobytes() for p in known[here].astype(np.int32)], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
+        # A string met twice here needs no place any more, only its digest goes on.
+        both, documents = both[first], documents[first]
+        known = np.where(number > 1, -1, starts[first]).astype(np.int32)
+        part = ((both[:, 0] >> np.uint64(20)) % np.uint64(self.ranges)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(self.ranges + 1))
+        rows = []
+        for r in range(self.ranges):
+            here = order[ends[r] : ends[r + 1]]
+            if len(here):
+                digests, owners, places = (self.pack(x[here].tobytes()) for x in (both, documents, known))
+                rows.append((2 * r + 1, 0, digests, None, None, owners, places))
+        yield from _batches(rows)
 
 
 def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +398,7 @@ def _settled(documents: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBat
     for document in np.unique(documents):
         own = starts[np.searchsorted(documents, document) : np.searchsorted(documents, document, "right")]
         spans = _joined(own, own + WIDTH).astype(np.int32)
-        yield from _batches([(_SETTLED, int(document), 0, spans.tobytes(), None, None, None, None)])
+        yield from _batches([(_SETTLED, int(document), spans.tobytes(), None, None, None, None)])
 
 
 def _joined(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -389,6 +409,21 @@ def _joined(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([starts[new], ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)] if len(starts) else ends], axis=1)
 
 
+def _met(blobs: list[tuple[bytes, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(documents, starts, ends) of strings whose digest came from two tasks, or twice from one."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    digests = np.concatenate([np.frombuffer(unpack(b[0]), np.uint64).reshape(-1, 2) for b in blobs])
+    documents = np.concatenate([np.frombuffer(unpack(b[3]), np.int64) for b in blobs])
+    starts = np.concatenate([np.frombuffer(unpack(b[4]), np.int32) for b in blobs]).astype(np.int64)
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    digests, documents, starts = digests[order], documents[order], starts[order]
+    first = np.flatnonzero(np.concatenate([[True], (digests[1:] != digests[:-1]).any(axis=1)]))
+    number = np.diff(np.append(first, len(digests)))
+    repeated = (number > 1) | (np.minimum.reduceat(starts, first) < 0)
+    chosen = np.repeat(repeated, number) & (starts >= 0)
+    yield documents[chosen], starts[chosen], starts[chosen] + WIDTH
+
+
 def _merged(blobs: list[tuple[bytes, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(documents, starts, ends) of covered intervals, from the runs of one range."""
     unpack = zstandard.ZstdDecompressor().decompress
@@ -398,29 +433,41 @@ def _merged(blobs: list[tuple[bytes, ...]]) -> Iterator[tuple[np.ndarray, np.nda
         for blob in blobs
     ]
     keys: list[bytes] = []
-    members: list[list[tuple[np.ndarray, np.ndarray]]] = []
+    lengths: list[int] = []
+    counts: list[int] = []
+    members: list[tuple[int, np.ndarray, np.ndarray]] = []
+    # Of all members so far: document, place, and the offsets of their context.
+    documents, places, lows, highs = [], [], [], []
+
+    def close() -> None:
+        if len(keys) == 1 and counts[0] == 1:
+            return
+        spans = extremes(keys, counts, lengths)
+        for number, document, place in members:
+            low, high = spans[number]
+            if low <= high:
+                documents.append(document)
+                places.append(place)
+                lows.append(np.full(len(place), low))
+                highs.append(np.full(len(place), high))
+
     for key, shared, run in merge(runs):
         if shared < GRAM and keys:
-            yield from _covered(keys, members)
-            keys, members = [], []
+            close()
+            keys, lengths, counts, members = [], [], [], []
+        document, place = run.members()
         if shared == _KEY and keys:
-            members[-1].append(run.members())
+            counts[-1] += len(document)
         else:
             keys.append(key)
-            members.append([run.members()])
+            lengths.append(shared)
+            counts.append(len(document))
+        members.append((len(keys) - 1, document, place))
     if keys:
-        yield from _covered(keys, members)
-
-
-def _covered(keys: list[bytes], members: list[list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[tuple[np.ndarray, ...]]:
-    counts = [sum(len(d) for d, _ in m) for m in members]
-    if len(keys) == 1 and counts[0] == 1:
-        return
-    for (low, high), found in zip(extremes(keys, counts), members, strict=True):
-        if low <= high:
-            documents = np.concatenate([d for d, _ in found])
-            places = np.concatenate([p for _, p in found]).astype(np.int64)
-            yield documents, places - high, places - low + WIDTH
+        close()
+    if documents:
+        place = np.concatenate(places).astype(np.int64)
+        yield np.concatenate(documents), place - np.concatenate(highs), place - np.concatenate(lows) + WIDTH
 
 
 def _coverage(docs: DataFrame, grams: DataFrame, ranges: int) -> DataFrame:
@@ -438,63 +485,39 @@ def _coverage(docs: DataFrame, grams: DataFrame, ranges: int) -> DataFrame:
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blobs = None, []
-        string: tuple | None = None
-        places: list[tuple[int, int]] = []
-        many = False
-        out: list[tuple[int, bytes]] = []
-
-        def settled() -> None:
-            """Places of one string; it repeats if another task, or one task twice, has it."""
-            if len(places) > 1 or many:
-                out.extend((d, np.array([[s, s + WIDTH]], np.int32).tobytes()) for d, s in places if s >= 0)
-
-        def merged() -> Iterator[pa.RecordBatch]:
-            documents, starts, ends = [], [], []
-            for d, s, e in _merged(blobs):
-                documents.append(d)
-                starts.append(s)
-                ends.append(e)
-            if documents:
-                d, s, e = np.concatenate(documents), np.concatenate(starts), np.concatenate(ends)
-                order = np.argsort(d, kind="stable")
-                d, s, e = d[order], s[order], e[order]
-                first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                spans = [_joined(s[a:b], e[a:b]).astype(np.int32).tobytes() for a, b in zip(first, np.append(first[1:], len(d)), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(spans, pa.binary())], names=["document", "spans"])
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if out:
-                columns = [pa.array([d for d, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())]
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            """Spans of the documents in one range of runs or digests."""
+            found = list((_met if part % 2 else _merged)(blobs)) if blobs else []
+            for document, start, end in found:
+                order = np.argsort(document, kind="stable")
+                document, start, end = document[order], start[order], end[order]
+                first = np.flatnonzero(np.concatenate([[True], document[1:] != document[:-1]])) if len(document) else []
+                limits = zip(first, np.append(first[1:], len(document)), strict=True) if len(document) else ()
+                spans = [_joined(start[a:b], end[a:b]).astype(np.int32).tobytes() for a, b in limits]
+                columns = [pa.array(document[first] if len(document) else [], pa.int64()), pa.array(spans, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["document", "spans"])
-                out.clear()
 
         for batch in batches:
+            settled: list[tuple[int, bytes]] = []
             for row in zip(*(batch.column(n).to_pylist() for n in _NAMES), strict=True):
                 if row[0] == _SETTLED:
-                    out.append((row[1], row[3]))
-                elif row[0] == _DIGEST:
-                    if row[1:3] != string:
-                        settled()
-                        string, places, many = row[1:3], [], False
-                    place = int(np.frombuffer(row[7], np.int32)[0])
-                    places.append((int(np.frombuffer(row[6], np.int64)[0]), place))
-                    many |= place < 0
-                else:
-                    if row[0] != part:
-                        yield from merged()
-                        part, blobs = row[0], []
-                    blobs.append(row[3:])
-            yield from flush()
-        settled()
-        yield from merged()
-        yield from flush()
+                    settled.append(row[1:3])
+                    continue
+                if row[0] != part:
+                    yield from finish()
+                    part, blobs = row[0], []
+                blobs.append(row[2:])
+            columns = [pa.array([d for d, _ in settled], pa.int64()), pa.array([x for _, x in settled], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["document", "spans"])
+        yield from finish()
 
     # Text is packed before it is exchanged.
     found = _packed(docs).join(grams, "document").select("document", "text", "repeated", "frequent")
     sent = found.mapInArrow(send, _ROW)
-    # Runs go by their range, digests by their string, settled spans anywhere.
-    target = F.when(F.col("part") >= 0, F.col("part").cast("long")).otherwise(F.col("one"))
-    dealt = sent.withColumn("_to", target).repartition("_to").sortWithinPartitions("part", "one", "two").drop("_to")
+    # Runs and digests go by their range, settled spans by their document.
+    target = F.when(F.col("part") >= 0, F.col("part").cast("long")).otherwise(F.col("document"))
+    dealt = sent.withColumn("_to", target).repartition("_to").sortWithinPartitions("part").drop("_to")
     spans = dealt.mapInArrow(receive, "document bigint, spans binary")
     return spans.groupBy("document").agg(F.collect_list("spans").alias("spans"))
 
@@ -525,6 +548,7 @@ def _repeated_grams(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, names=["gram", "document", "n"])
 
     found = docs.select("document", "text").mapInArrow(run, "gram bigint, document bigint, n int")
+    found = written(found, "anchors")  # hashing the texts again would cost more than reading this
     counted = found.groupBy("gram").agg(F.sum("n").alias("total")).filter("total > 1")
     marked = found.join(counted, "gram").select("document", "gram", (F.col("total") > FREQUENT).alias("often"))
     return marked.groupBy("document").agg(
