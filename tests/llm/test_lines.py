@@ -48,6 +48,24 @@ def test_equals_walk(spark):
     assert total > 100
 
 
+def test_planted_passages_are_found(spark):
+    """Passages of 2 to 50 lines between other neighbours, some with blank lines inside."""
+    draw = random.Random(3)
+    rows, planted = [], 0
+    for pair in range(300):
+        passage = [f"passage {pair} line {i}" for i in range(draw.choice([2, 3, 4, 5, 8, 20, 50]))]
+        if pair % 3 == 0:
+            passage = "\n\n".join(passage).split("\n")
+        for copy in range(2):
+            around = [[f"own {pair} {copy} {side} {i}" for i in range(draw.randint(0, 4))] for side in "ab"]
+            rows.append((2 * pair + copy, "\n".join([*around[0], *passage, *around[1]]), 0))
+        planted += len(passage)
+    found = {r["doc_id"]: r["removed_lines"] for r in ours(spark, rows)}
+    assert not any(n for key, n in found.items() if key % 2 == 0)
+    taken = sum(n for key, n in found.items() if key % 2)
+    assert taken == planted, f"{taken} of {planted} lines"
+
+
 def test_cuts_resist_shifts():
     text = [f"line {i * 7919 % 1000}" for i in range(200)]
     ends = set(lines.cuts(text))

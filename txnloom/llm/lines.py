@@ -1,16 +1,16 @@
 """Removal of repeated blocks of lines.
 
-A text is cut where a rolling hash over the hashes of the last lines hits a
-residue, so an inserted or removed line moves only the cuts next to it.  A
-chunk of several lines that occurs again anywhere keeps its first occurrence;
-chunks meet by a hash and count as equal only if their bytes are.
+A text is cut after every line with a word, and each LEAST_LINES neighbouring
+pieces are a chunk.  Chunks overlap, so a passage of that many lines or more
+that stands in two texts has all its chunks in common whatever surrounds it.
+A chunk that occurs again anywhere keeps its first occurrence; chunks meet by a
+hash and count as equal only if their bytes are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -19,37 +19,23 @@ from pyspark.sql import types as T
 
 from txnloom.llm.shared import ROWS_AT_ONCE, other_fields, written
 
-# Lines under the rolling hash, the share of places that are cut (one in DIVISOR)
-# and the lines with a word that make a chunk worth comparing.
-WINDOW = 2
-DIVISOR = 2
+# Lines with a word that make a chunk.
 LEAST_LINES = 2
-_BASE = 0x9E3779B97F4A7C15
 
 
 def cuts(lines: list[str]) -> list[int]:
-    """Ends of the chunks, as numbers of lines from the start of the text."""
-    hashes = np.array([xxhash.xxh3_64_intdigest(line.encode()) for line in lines], np.uint64)
-    rolled = np.zeros(len(lines), np.uint64)
-    factor = 1
-    for back in range(min(WINDOW, len(lines))):
-        factor = factor * _BASE % (1 << 64)
-        rolled[back:] += hashes[: len(hashes) - back] * np.uint64(factor)
-    rolled ^= rolled >> np.uint64(32)
-    ends = np.flatnonzero(rolled % np.uint64(DIVISOR) == 0) + 1
-    return [*(e for e in ends.tolist() if e < len(lines)), len(lines)]
+    """Ends of the lines with a word, as numbers of lines from the start of the text."""
+    return [n for n, line in enumerate(lines, 1) if line and not line.isspace()]
 
 
 def chunks(text: str | None) -> list[tuple[int, int, str]]:
-    """(first line, end line, bytes as text) of every chunk with enough lines."""
+    """(first line, end line, bytes as text) of every chunk, with the blank lines inside it."""
     if not text:
         return []
-    lines, first, found = text.split("\n"), 0, []
-    for end in cuts(lines):
-        if end - first >= LEAST_LINES and sum(not line.isspace() and line != "" for line in lines[first:end]) >= LEAST_LINES:
-            found.append((first, end, "\n".join(lines[first:end])))
-        first = end
-    return found
+    lines = text.split("\n")
+    ends = cuts(lines)
+    pairs = zip(ends, ends[LEAST_LINES - 1 :], strict=False)
+    return [(start - 1, end, "\n".join(lines[start - 1 : end])) for start, end in pairs]
 
 
 def _rows(df: DataFrame, schema: str, make_rows) -> DataFrame:
@@ -76,8 +62,9 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: st
     """Take repeated chunks out of ``text`` and add the number of lines taken.
 
     Of equal chunks the one with the least (key, place) stays; nulls come
-    before all keys.  Rows equal in key and text are one document and lose the
-    same lines.  A null or empty text stays as it is with 0; a text may become
+    before all keys.  A line goes if any chunk it stands in goes; so the first
+    occurrence of every line stays, and a run of one line leaves one.  Rows
+    equal in key and text are one document and lose the same lines.  A null or empty text stays as it is with 0; a text may become
     empty.  A column already named ``removed`` is replaced.
     """
     kept = [f.name for f in other_fields(docs, [removed])]
@@ -85,13 +72,14 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: st
     kind = named.schema["_doc"].dataType.simpleString()
 
     def places(row: dict) -> Iterator[tuple]:
-        return ((row["_doc"], first, _hash(chunk)) for first, _, chunk in chunks(row["_text"]))
+        return ((row["_hash"], first, _hash(chunk)) for first, _, chunk in chunks(row["_text"]))
 
-    source = named.select("_doc", F.col(text).alias("_text"))
-    found = _rows(source, f"_doc {kind}, line int, hash bigint", places)
+    # Lines of documents that share a hash only are candidates too many: bytes decide.
+    source = named.select("_doc.hash", F.col(text).alias("_text")).withColumnRenamed("hash", "_hash")
+    found = _rows(source, "_hash bigint, line int, hash bigint", places)
     again = found.groupBy("hash").agg(F.count("*").alias("_n")).filter("_n > 1").select("hash")
-    listed = found.join(again, "hash", "left_semi").groupBy("_doc").agg(F.collect_set("line").alias("_lines"))
-    marked = written(named.join(listed, "_doc", "left"), "lines")
+    listed = found.join(again, "hash", "left_semi").groupBy("_hash").agg(F.collect_set("line").alias("_lines"))
+    marked = written(named.join(listed, named["_doc.hash"] == listed["_hash"], "left").drop("_hash"), "lines")
 
     def contents(row: dict) -> Iterator[tuple]:
         some = set(row["_lines"])
