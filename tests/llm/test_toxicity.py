@@ -60,6 +60,24 @@ def test_without_both_classes(spark, labels, score):
     assert {r["score"] for r in toxicity.score(docs, model).collect()} == {score}
 
 
+def test_calibration_sees_all_labelled_rows(spark, monkeypatch):
+    """A bound that evens the classes out in the sample leaves probabilities as frequent as labels."""
+    draw = random.Random(9)
+    rows, labels = [], []
+    for i in range(3000):
+        toxic = int(draw.random() < 0.1)
+        odd = draw.random() < (0.6 if toxic else 0.2)
+        words = [f"w{draw.randrange(200)}" for _ in range(40)] + ["idiot"] * odd
+        rows.append((i, " ".join(words), "en"))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(toxicity, "SAMPLE_PER_CLASS", 150)
+    monkeypatch.setattr(toxicity, "SAMPLE_WORDS", 50)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    mean = toxicity.score(docs, model).filter(toxicity.fold_of("doc_id") == 2).agg(F.avg("score")).first()[0]
+    assert 0.06 <= mean <= 0.14, mean
+
+
 def test_odd_texts(spark):
     docs, labels, _ = corpus(spark, 400)
     model = toxicity.fit(docs, labels)

@@ -3,8 +3,9 @@
 A word is the sum of two hashed embeddings: of the whole word and of its first
 letters, which carries over to inflected forms.  Filters of several widths run
 over the words, the maximum of each filter over the text feeds a logistic
-output.  Training sees a bounded sample of labelled documents; a further part
-calibrates the output to a probability and picks a threshold per language.
+output.  Training sees a bounded sample of labelled documents; all labelled
+documents of a further part are scored, and counts of their outputs calibrate
+the output to a probability and pick a threshold per language.
 Scoring folds the filters into one table of projections per distinct word, so
 a text costs a few vector additions per word.
 """
@@ -39,6 +40,9 @@ RATE = 0.08
 # Words a task remembers with their projections; beyond it starts again.
 REMEMBERED = 150_000
 DECISION = 0.3
+# Counted outputs: steps in one unit of log-odds, and the largest size of an output.
+STEPS = 1024
+LARGEST = 30
 # Positives a language needs for a threshold of its own.
 LEAST_POSITIVES = 20
 
@@ -193,18 +197,12 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Network
     return net
 
 
-def margins_of(net: Network, texts: list[np.ndarray]) -> np.ndarray:
-    found = []
-    for at in range(0, len(texts), BATCH):
-        flat, starts, counts = _batch(texts[at : at + BATCH])
-        projected = net.projections(net.table[flat[:, 0]] + net.table[flat[:, 1]])
-        found.append(net.margins(net.pooled(projected, starts, counts)[0]))
-    return np.concatenate(found) if found else np.empty(0)
+def calibrate(net: Network, margins: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> None:
+    """Fit slope and shift of the output on texts not trained on (Newton steps).
 
-
-def calibrate(net: Network, margins: np.ndarray, labels: np.ndarray) -> None:
-    """Fit slope and shift of the output on texts not trained on (Newton steps)."""
-    positives, negatives = labels.sum(), (labels == 0).sum()
+    Each output stands for ``counts`` texts.
+    """
+    positives, negatives = counts[labels == 1].sum(), counts[labels == 0].sum()
     if not positives or not negatives:
         return
     # Targets a little inside 0..1 keep separable data finite.
@@ -214,12 +212,12 @@ def calibrate(net: Network, margins: np.ndarray, labels: np.ndarray) -> None:
 
     def loss(w: np.ndarray) -> float:
         z = features @ w
-        return float((np.logaddexp(0, z) - target * z).sum() + 1e-3 * w @ w)
+        return float((counts * (np.logaddexp(0, z) - target * z)).sum() + 1e-3 * w @ w)
 
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(features @ weights, -30, 30)))
-        slope = features.T @ (p - target) + 2e-3 * weights
-        bend = (features * (p * (1 - p))[:, None]).T @ features + 2e-3 * np.eye(2)
+        slope = features.T @ (counts * (p - target)) + 2e-3 * weights
+        bend = (features * (counts * p * (1 - p))[:, None]).T @ features + 2e-3 * np.eye(2)
         move, scale = np.linalg.solve(bend, slope), 1.0
         while scale > 1e-4 and loss(weights - scale * move) > loss(weights):
             scale /= 2
@@ -230,14 +228,17 @@ def calibrate(net: Network, margins: np.ndarray, labels: np.ndarray) -> None:
         net.slope, net.shift = float(weights[0]), float(weights[1])
 
 
-def threshold_of(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The cutoff with the best F1, in the middle of the gap below it; DECISION without both classes."""
+def threshold_of(scores: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> float:
+    """The cutoff with the best F1, in the middle of the gap below it; DECISION without both classes.
+
+    Each score stands for ``counts`` texts.
+    """
     if not labels.any() or labels.all():
         return DECISION
     order = np.argsort(-scores, kind="stable")
-    hits = np.cumsum(labels[order])
-    taken = np.arange(1, len(order) + 1)
-    f1 = 2 * hits / (taken + labels.sum())
+    hits = np.cumsum((counts * labels)[order])
+    taken = np.cumsum(counts[order])
+    f1 = 2 * hits / (taken + hits[-1])
     ends = np.append(scores[order][1:] < scores[order][:-1], True)
     best = int(np.where(ends, f1, -1).argmax())
     below = scores[order][best + 1] if best + 1 < len(order) else 0.0
@@ -260,10 +261,11 @@ def fold_of(key: str) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Classifier:
     """Train on folds 0 and 1, calibrate on fold 3; fold 2 is never read.
 
-    At most SAMPLE_PER_CLASS labelled keys of each class are taken, in the
-    order of a hash; a key labelled both ways is toxic, null labels and keys do
-    not count.  Without any usable label the score is 0 for every text, with
-    one class only it is that class for every text.
+    At most SAMPLE_PER_CLASS labelled keys of each class are trained on, in the
+    order of a hash; all labelled rows of fold 3 calibrate, whole.  A key
+    labelled both ways is toxic, null labels and keys do not count.  Without any
+    usable label the score is 0 for every text, with one class only it is that
+    class for every text.
     """
     known = (
         labels.filter(F.col(key).isNotNull() & F.col("toxic").isin(0, 1))
@@ -272,36 +274,41 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         .agg(F.max("toxic").alias("_label"))
     )
     one = [
-        known.filter(F.col("_label") == label).orderBy(F.xxhash64(key), key).limit(SAMPLE_PER_CLASS)
+        known.filter((F.col("_label") == label) & (fold_of(key) != 3)).orderBy(F.xxhash64(key), key).limit(SAMPLE_PER_CLASS)
         for label in (0, 1)
     ]
     sample = F.broadcast(one[0].unionByName(one[1]))
-    language = F.col(lang) if lang in docs.columns else F.lit(None).cast("string")
-    rows = docs.join(sample, key).select(text, "_label", fold_of(key).alias("_fold"), language.alias("_lang"))
-    texts, marks, folds, languages = [], [], [], []
-    for row in rows.toLocalIterator():
+    texts, marks = [], []
+    for row in docs.join(sample, key).select(text, "_label").toLocalIterator():
         ids = np.array([buckets_of(w) for w in words_of(row[0])], np.int64).reshape(-1, 2)
         if len(ids) <= SAMPLE_WORDS:
             texts.append(ids.astype(np.int32))
             marks.append(row[1])
-            folds.append(row[2])
-            languages.append(row[3])
-    mark, fold = np.array(marks, np.int64), np.array(folds, np.int64)
-    learn = np.flatnonzero(fold != 3)
-    if not len(learn) or len(set(mark[learn])) < 2:
-        base = float(mark.mean()) if len(mark) else 0.0
-        return Classifier(None, base, DECISION, {})
-    net = train([texts[i] for i in learn], mark[learn])
-    check = np.flatnonzero(fold == 3)
-    margins = margins_of(net, [texts[i] for i in check])
-    calibrate(net, margins, mark[check])
+    mark = np.array(marks, np.int64)
+    if len(set(marks)) < 2:
+        base = docs.join(known, key).agg(F.avg("_label")).first()[0]
+        return Classifier(None, float(base or 0.0), DECISION, {})
+    net = train(texts, mark)
+    language = F.col(lang) if lang in docs.columns else F.lit(None).cast("string")
+    check = docs.join(known.filter(fold_of(key) == 3), key).select(F.col(text).alias("_text"), "_label", language.alias("_lang"))
+    margin = F.greatest(F.least(F.col("_margin"), F.lit(float(LARGEST))), F.lit(float(-LARGEST)))
+    counted = (
+        _outputs(check, net, "_text", "_margin")
+        .groupBy("_lang", "_label", F.round(margin * STEPS).cast("int").alias("_step"))
+        .agg(F.count("*").alias("_n"))
+        .orderBy("_lang", "_label", "_step")
+        .toPandas()
+    )
+    mark, counts = counted["_label"].to_numpy(np.int64), counted["_n"].to_numpy(np.int64)
+    margins, languages = counted["_step"].to_numpy(np.float64) / STEPS, counted["_lang"].to_numpy(object)
+    calibrate(net, margins, mark, counts)
     scores = net.probability(margins)
     by_language = {}
     for name in sorted({n for n in languages if n is not None}):
-        own = np.array([languages[i] == name for i in check], bool)
-        if len(own) and mark[check][own].sum() >= LEAST_POSITIVES:
-            by_language[name] = threshold_of(scores[own], mark[check][own])
-    return Classifier(net, float(mark.mean()), threshold_of(scores, mark[check]), by_language)
+        own = languages == name
+        if (counts * mark)[own].sum() >= LEAST_POSITIVES:
+            by_language[name] = threshold_of(scores[own], mark[own], counts[own])
+    return Classifier(net, float(np.mean(marks)), threshold_of(scores, mark, counts), by_language)
 
 
 class Scorer:
@@ -319,6 +326,10 @@ class Scorer:
         net = self.model.network
         if net is None:
             return np.full(len(texts), self.model.base)
+        return net.probability(self.margins(texts))
+
+    def margins(self, texts: list[str | None]) -> np.ndarray:
+        net = self.model.network
         words = [words_of(t) for t in texts]
         if len(self.rows) > REMEMBERED:
             self._restart()
@@ -334,7 +345,18 @@ class Scorer:
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
         ids = np.fromiter((self.rows[w] for text in words for w in text), np.int64, int(counts.sum()))
         pooled, _ = net.pooled(self.projected[ids], starts, counts)
-        return net.probability(net.margins(pooled))
+        return net.margins(pooled)
+
+
+def _outputs(docs: DataFrame, net: Network, text: str, out: str) -> DataFrame:
+    """Add the output of the network before calibration as ``out``."""
+    shipped = docs.sparkSession.sparkContext.broadcast(Classifier(net, 0.0, DECISION, {}))
+
+    def make():
+        scorer = Scorer(shipped.value)
+        return lambda texts: [pa.array(scorer.margins(texts.to_pylist()), pa.float64())]
+
+    return add_from_text(docs, text, [T.StructField(out, T.DoubleType())], make, rows=64)
 
 
 def score(docs: DataFrame, model: Classifier, text: str = "text", out: str = "score") -> DataFrame:
