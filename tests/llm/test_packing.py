@@ -85,6 +85,24 @@ def test_small_cases_are_optimal():
     assert better > 0
 
 
+def test_many_bins_do_not_use_up_the_search():
+    draw = random.Random(2)
+    better = 0
+    for _ in range(60):
+        sizes = [draw.randint(18, 48) for _ in range(9)]
+        counts = {s: sizes.count(s) for s in sizes}
+        alone = packing.pack_counts(counts, 100)
+        if len(packing.best_fit(counts, 100)) > len(alone):
+            better += 1
+            # Pieces that leave no room, whole or nearly so, only add their bins.
+            for size in (100, 99):
+                many = counts | {size: packing.OPENED}
+                bins = packing.pack_counts(many, 100)
+                check(many, bins, 100)
+                assert len(bins) == packing.OPENED + len(alone)
+    assert better > 0
+
+
 def test_domination():
     assert packing.dominates((5, 3), (4, 3))
     assert packing.dominates((7,), (4, 3))

@@ -31,8 +31,8 @@ from txnloom.llm.shared import ROWS_AT_ONCE, other_fields
 CAPACITY = 2048
 # Pieces that are packed together; at most one bin of a shard stays open.
 SHARD = 4096
-# Bounds on the work of a search: bins opened in all, fillings looked at and
-# kept for one bin.  Beyond them the incumbent stands.
+# Bounds on the work of a search: bins opened beyond those of one packing,
+# fillings looked at and kept for one bin.  Beyond them the incumbent stands.
 OPENED = 3000
 LOOKED_AT = 150
 KEPT = 6
@@ -243,7 +243,7 @@ def complete(counts: dict[int, int], capacity: int, bins_used: int) -> list[tupl
         return largest, iter(sets)
 
     largest, tries = options(spare)
-    while opened < OPENED:
+    while opened < OPENED + bins_used:
         chosen = next(tries, None)
         if chosen is None:
             if not path:
@@ -267,14 +267,16 @@ def complete(counts: dict[int, int], capacity: int, bins_used: int) -> list[tupl
 
 def pack_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, ...]]:
     """Bins (the sizes in each) for ``counts`` pieces of each size."""
+    full = [(capacity,)] * counts.get(capacity, 0)
+    counts = {size: n for size, n in counts.items() if size != capacity}
     bins = best_fit(counts, capacity)
-    target = lower_bound(counts, capacity)
+    target = lower_bound(counts, capacity) if counts else 0
     while len(bins) > target:
         better = complete(counts, capacity, len(bins))
         if better is None:
             break
         bins = better
-    return bins
+    return full + bins
 
 
 def pack(

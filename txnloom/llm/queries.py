@@ -75,7 +75,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A place in a sequence of 2048 tokens for every piece of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = packing.pieces(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
-    return packing.pack(cut.drop("ids"), ["doc_id", "piece"], rows_expected=docs.count())
+    cut = written(cut.drop("ids"), "pieces")
+    return packing.pack(cut, ["doc_id", "piece"], rows_expected=cut.count())
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
