@@ -77,4 +77,4 @@ def test_everything_is_registered(spark, sf_dir):
     names = set(registry.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "jaccard_join", "pii", "packing"]
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))

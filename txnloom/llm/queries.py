@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnloom.llm import bpe, jaccard, lines, neighbours, packing, pii, quality, suffixes, toxicity, warc
+from txnloom.llm import (
+    bpe,
+    decontamination,
+    jaccard,
+    lines,
+    manifest,
+    neighbours,
+    packing,
+    pii,
+    quality,
+    suffixes,
+    toxicity,
+    tries,
+    warc,
+)
 from txnloom.llm.shared import ship, table, written
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -127,6 +141,178 @@ SELECT page_id,
 FROM pages
 """
 
+
+def op11_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie over all rebuilt conversations."""
+    return tries.trie(tries.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof, and what a tampered third of them leads to."""
+    docs = table(spark, sf_dir, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", decontamination.CAPITALS, decontamination.SMALL)
+    return manifest.audit(docs, changed={"text": F.when(chosen, lowered).otherwise(F.col("text"))}).drop("copied")
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in benchmark windows, and their items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find(docs, table(spark, sf_dir, "benchmark")).withColumn("n_hit", decontamination.n_hit())
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def _crc32_sql(decimal: str) -> str:
+    """CRC-32 of a decimal number, with the table of the remainders of single bytes."""
+    remainders = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        remainders.append(value)
+    digits = f"list_transform(string_split(CAST({decimal} AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))"
+    step = f"xor(c >> 8, {remainders}[CAST((xor(c, b) & 255) + 1 AS INTEGER)])"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {digits}), lambda c, b: {step}), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH own AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n
+    FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, {_crc32_sql("conv_id")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+both_parts AS (
+    SELECT c.conv_id, 0 AS part, o.n, o.role, o.text FROM convs c
+        JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 20 AND o.n <= c.h
+    UNION ALL
+    SELECT c.conv_id, 1, o.n, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.n > c.h),
+paths AS (
+    SELECT conv_id, row_number() OVER w AS depth,
+        sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w) AS node,
+        len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words
+    FROM both_parts WINDOW w AS (PARTITION BY conv_id ORDER BY part, n)
+    UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+linked AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS up,
+    depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM paths),
+nodes AS (
+    SELECT node, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+        coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ended
+    FROM linked GROUP BY node, depth),
+counted AS (SELECT n.*, (SELECT count(*) FROM nodes c WHERE c.up = n.node AND c.depth = n.depth + 1) AS n_children FROM nodes n),
+sums AS (
+    SELECT p.node, count(*) FILTER (WHERE c.n_children = 0) AS n_leaves, sum((c.n_convs - 1) * c.words) AS saved
+    FROM counted c JOIN paths p ON p.conv_id = c.conv_id AND p.depth <= c.depth GROUP BY p.node)
+SELECT c.conv_id, c.depth, u.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves,
+    CAST(s.saved AS BIGINT) AS saved_tokens, sha256(c.ended) AS ends_sha256
+FROM counted c JOIN sums s ON s.node = c.node LEFT JOIN nodes u ON u.node = c.up AND c.depth > 0
+"""
+
+
+def _tree_sql(name: str, group: str, levels: int) -> str:
+    """CTEs ``name``0 to ``name``<levels>: the nodes (group, pos, total, digest) of each level."""
+    steps = [
+        f"{name}{k + 1} AS (SELECT {group}, pos // 8 AS pos, (any_value(total) + 7) // 8 AS total, "
+        f"CASE WHEN any_value(total) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest "
+        f"FROM {name}{k} GROUP BY {group}, pos // 8)"
+        for k in range(levels)
+    ]
+    return ",\n".join(steps)
+
+
+def _sides_sql(name: str, levels: int, row: str) -> str:
+    """Columns with the digests left and right of a row's way at each level."""
+    columns = []
+    for k in range(levels):
+        same = f"n.grp IS NOT DISTINCT FROM {row}.{name}_grp AND n.pos // 8 = {row}.{name}_at // {8 ** (k + 1)}"
+        for side, than in (("left", "<"), ("right", ">")):
+            columns.append(
+                f"coalesce((SELECT string_agg(n.digest, '' ORDER BY n.pos) FROM {name}{k} n "
+                f"WHERE {same} AND n.pos {than} {row}.{name}_at // {8 ** k}), '') AS {name}_{side}{k}"
+            )
+    return ", ".join(columns)
+
+
+_LEVELS = (8, 3)
+
+
+def _op12_sql() -> str:
+    parts = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)"]
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(strlen({p}) || ':' || {p}, '-')" for p in [*parts, text]) + ")"
+
+    lowered = f"CASE WHEN {_crc32_sql('doc_id')} % 3 = 0 THEN translate(text, '{decontamination.CAPITALS}', '{decontamination.SMALL}') ELSE text END"
+    trees = _tree_sql("leaf", "grp", _LEVELS[0]), _tree_sql("top", "grp", _LEVELS[1])
+    sides = [_sides_sql(n, m, "w") for n, m in zip(("leaf", "top"), _LEVELS, strict=True)]
+    folds, last, proof = [], "start", []
+    for name, levels in zip(("leaf", "top"), _LEVELS, strict=True):
+        for k in range(levels):
+            left, right = f"{name}_left{k}", f"{name}_right{k}"
+            proof += [left, right]
+            folds.append((f"{name}{k}_", f"CASE WHEN {name}_total > {8 ** k} THEN sha256({left} || {last} || {right}) ELSE {last} END"))
+            last = f"{name}{k}_"
+    chained = "way"
+    ctes = []
+    for i, (column, value) in enumerate(folds):
+        ctes.append(f"fold{i} AS (SELECT *, {value} AS {column} FROM {chained})")
+        chained = f"fold{i}"
+    return f"""
+WITH leaves AS (
+    SELECT doc_id, lang AS grp, {leaf('text')} AS digest, {leaf('changed')} AS start
+    FROM (SELECT *, {lowered} AS changed FROM documents)),
+leaf0 AS (
+    SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos,
+        count(*) OVER (PARTITION BY grp) AS total FROM leaves),
+{trees[0]},
+top0 AS (SELECT 0 AS grp, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS pos, count(*) OVER () AS total,
+    digest, grp AS lang FROM leaf{_LEVELS[0]}),
+{trees[1]},
+w AS (
+    SELECT l.doc_id, l.digest AS leaf, l.start, t.digest AS subroot, r.digest AS root,
+        l.grp AS leaf_grp, l.pos AS leaf_at, l.total AS leaf_total, 0 AS top_grp, t.pos AS top_at, t.total AS top_total
+    FROM leaf0 l JOIN top0 t ON t.lang IS NOT DISTINCT FROM l.grp, top{_LEVELS[1]} r),
+way AS (SELECT w.*, {sides[0]}, {sides[1]} FROM w),
+{", ".join(ctes)}
+SELECT doc_id, leaf, subroot, root, sha256({" || ".join(proof)}) AS proof_sha256,
+    {last} AS folded_root, {last} = root AS verified
+FROM {chained}
+"""
+
+
+OP12_SQL = _op12_sql()
+
+OP13_SQL = r"""
+WITH split AS (
+    SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+words AS (
+    SELECT kind, id, row_number() OVER () AS line, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM split),
+grams AS (
+    SELECT DISTINCT id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS gram
+    FROM (SELECT id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM words WHERE kind = 'b' AND len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM grams),
+places AS (
+    SELECT line, n, unnest(generate_series(1, len(w) - n + 1)) AS i, w FROM words, sizes WHERE kind = 'd' AND len(w) >= n),
+hits AS (
+    SELECT p.line, p.i, p.n, g.id FROM places p JOIN grams g ON g.n = p.n AND g.gram = array_to_string(p.w[p.i:p.i + p.n - 1], ' ')),
+covered AS (
+    SELECT line, count(DISTINCT pos) AS n_hit FROM (SELECT line, unnest(generate_series(i, i + n - 1)) AS pos FROM hits) GROUP BY line),
+items AS (
+    SELECT line, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+    FROM (SELECT DISTINCT line, CAST(id AS VARCHAR) AS id FROM hits WHERE id IS NOT NULL) GROUP BY line)
+SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+    sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM words w LEFT JOIN covered c USING (line) LEFT JOIN items i USING (line) WHERE w.kind = 'd'
+"""
+
+
 def _shipped(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(run)
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,6 +333,14 @@ _ALL = (
     op8_pii,
     op9_packing,
     op10_warc,
+    op11_tries,
+    op12_manifest,
+    op13_decontamination,
 )
 QUERIES = {run.__name__: _shipped(run) for run in _ALL}
-ORACLES = {"op10_warc": OP10_SQL}
+ORACLES = {
+    "op10_warc": OP10_SQL,
+    "op11_tries": OP11_SQL,
+    "op12_manifest": OP12_SQL,
+    "op13_decontamination": OP13_SQL,
+}
