@@ -32,3 +32,20 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return SF_DIR
+
+
+@pytest.fixture
+def counted_reads(spark):
+    """A frame whose rows are counted whenever they are computed, and the count."""
+
+    def counted(frame):
+        seen = spark.sparkContext.accumulator(0)
+
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return frame.mapInArrow(count, frame.schema), lambda: seen.value
+
+    return counted

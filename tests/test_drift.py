@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from txnloom.operators import drift
 
@@ -65,6 +66,14 @@ def test_psi_matches_numpy(spark, expected, actual):
     assert found == pytest.approx(row_psi(expected, actual, 4), abs=1e-9)
 
 
+def test_the_baseline_is_read_twice_for_all_features(spark, counted_reads):
+    frame = spark.range(300).selectExpr("CAST(id AS DOUBLE) AS amount", "CAST(id % 9 AS DOUBLE) AS oldbalanceOrg")
+    base, reads = counted_reads(frame)
+    now, reads_now = counted_reads(frame.filter("amount > 50"))
+    assert drift.psi_report(base, now).count() == 2
+    assert (reads(), reads_now()) == (600, 249)
+
+
 def test_categorical_shift_aligns_both_sides(spark):
     base = spark.createDataFrame([("A",), ("A",), ("B",), (None,)], "type string")
     now = spark.createDataFrame([("B",), ("C",)], "type string")
@@ -89,6 +98,9 @@ def test_report(spark):
     report = drift.drift_report(base, now).collect()
     assert all(r["requires_review"] and r["high_drift_features"] == "amount" for r in report)
     assert {r["feature"] for r in report if r["kind"] == "categorical"} == {"type"}
+    more = [f.withColumn("final_decision", F.lit("APPROVE")).withColumn("risk_level", F.lit(None).cast("string")) for f in (base, now)]
+    found = {(r["feature"], r["category"]) for r in drift.drift_report(*more).collect() if r["kind"] == "categorical"}
+    assert {("final_decision", "APPROVE"), ("risk_level", "UNKNOWN"), ("type", "TRANSFER")} <= found
     calm = drift.drift_report(base, base).collect()
     assert not any(r["requires_review"] for r in calm)
     assert math.isclose(calm[0]["psi"], 0.0, abs_tol=1e-12)

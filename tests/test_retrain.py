@@ -20,6 +20,7 @@ def test_report_and_artifacts(spark, outcome):
     result, output = outcome
     report = retrain.report_json(result)
     assert report["training_rows"] == 1500 and report["target"] == "isFraud"
+    assert (report["fitted_rows"], report["held_out_rows"]) == (1200, 300)
     assert report["validation_strategy"] == "temporal_holdout_by_step"
     assert report["best_model_name"] == result.best.name
     assert [t["threshold"] for t in report["threshold_report"]] == [0.2, 0.35, 0.5, 0.65, 0.8]

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,47 @@ def test_slow_alert(spark):
     assert minutes(alerts, telemetry.SLOW_REQUESTS.name) == [6, 7]
 
 
+def test_alerts_equal_a_walk_over_all_minutes(spark):
+    """Busy and silent stretches over several days, some across midnight."""
+    draw = random.Random(2)
+    rows = []
+    for start in (0, 1400, 1436, 1439, 2870, 2879, 4000, 4320 - 3):
+        for m in range(start, start + draw.randrange(1, 25)):
+            rows += [(60 * m + draw.randrange(60), draw.choice([200, 500, 503]), draw.choice([1.0, 3000.0, 9000.0])) for _ in range(draw.randrange(4))]
+    rows += [(None, 500, 1.0)]
+    frame = requests(spark, rows)
+    seen = [r for r in rows if r[0] is not None]
+
+    def expected(alert, holds):
+        true = {e for e in range(1, 4500) if holds([r for r in seen if e - alert.window_minutes <= r[0] // 60 < e])}
+        return [e for e in range(1, 4500) if set(range(e - alert.hold_minutes, e + 1)) <= true]
+
+    def slow(window):
+        counts = [sum(ms / 1000 <= b for _, _, ms in window) for b in telemetry.LATENCY_BOUNDS]
+        rank = 0.95 * len(window)
+        at = next((i for i, c in enumerate(counts) if c >= rank), None)
+        if not window:
+            return False
+        if at is None:
+            return True
+        low, below = (telemetry.LATENCY_BOUNDS[at - 1], counts[at - 1]) if at else (0.0, 0)
+        return low + (telemetry.LATENCY_BOUNDS[at] - low) * (rank - below) / (counts[at] - below) > 2.0
+
+    alerts = telemetry.alert_windows(frame, predictions(spark, [])).persist()
+    errors = expected(telemetry.SERVER_ERRORS, lambda w: any(500 <= s <= 599 for _, s, _ in w))
+    assert minutes(alerts, telemetry.SERVER_ERRORS.name) == errors and errors
+    latencies = expected(telemetry.SLOW_REQUESTS, slow)
+    assert minutes(alerts, telemetry.SLOW_REQUESTS.name) == latencies and latencies
+    alerts.unpersist()
+
+
+def test_the_request_log_is_read_once(spark, counted_reads):
+    rows, reads = counted_reads(requests(spark, [(60 * m, 500, 4000.0) for m in range(30)]))
+    made, reads_made = counted_reads(predictions(spark, range(0, 600)))
+    assert telemetry.alert_windows(rows, made).count() > 0
+    assert (reads(), reads_made()) == (30, 600)
+
+
 def test_spike_alert(spark):
     dense = [s for s in range(0, 1200)]
     alerts = telemetry.alert_windows(requests(spark, []), predictions(spark, dense))

@@ -92,25 +92,29 @@ def psi_report(
 
     Breakpoints are baseline quantiles without repeats; values outside them
     leave both the counts and the totals.  A side without values gives NULL, a
-    constant baseline 0.  Reading the breakpoints (features x 11 numbers) is an
-    action; the counting that follows is lazy.
+    constant baseline 0.  The baseline is read twice, for the quantiles of all
+    features, which also tell how many of its rows lie in each bin; reading the
+    breakpoints (features x 11 numbers) is an action.  The current side is read
+    once, and lazily.
     """
     features = _shared(baseline, current, features)
     shares = [i / buckets for i in range(buckets + 1)]
-    found = quantiles(_long(baseline, features), "feature", "value", shares).collect()
-    edges = {row["feature"]: list(row["edges"]) for row in found}
-    known = {f: edges.get(f, []) for f in features}
+    found = {r["feature"]: r for r in quantiles(_long(baseline, features), "feature", "value", shares).collect()}
+    known = {f: list(found[f]["edges"]) if f in found else [] for f in features}
+    # Bins that no side fills still take part, with the floor share.
+    expected = []
+    for f in features:
+        below = list(found[f]["below"]) if f in found else []
+        # The last bin is closed; of a single edge only the rows outside all bins are left.
+        ends = [*below[1:-1], found[f]["rows"]] if len(below) > 1 else []
+        counts = [end - start for start, end in zip(below, ends, strict=False)]
+        outside = found[f]["rows"] - sum(counts) if f in found else 0
+        expected += [(f, b, n) for b, n in enumerate([outside, *counts], _OUTSIDE)]
     none = F.lit(0).cast("bigint")
-    counted = (
-        _bin_counts(baseline, known, "expected")
-        .withColumn("actual", none)
-        .unionByName(_bin_counts(current, known, "actual").withColumn("expected", none))
-    )
-    # Bins that neither side fills still take part, with the floor share.
-    slots = [(f, b) for f in features for b in range(-1, max(len(known[f]) - 1, 0))]
-    empty = baseline.sparkSession.createDataFrame(slots, "feature string, bin int")
+    slots = baseline.sparkSession.createDataFrame(expected, "feature string, bin int, expected bigint")
+    counted = _bin_counts(current, known, "actual").withColumn("expected", none)
     per_bin = (
-        counted.unionByName(empty.withColumn("expected", none).withColumn("actual", none))
+        counted.unionByName(slots.withColumn("actual", none))
         .groupBy("feature", "bin")
         .agg(F.sum("expected").alias("expected"), F.sum("actual").alias("actual"))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnloom.config import LAYER_PATHS, Lake
+from txnloom.operators import medallion
 
 # Conditions Spark reports for a path without a readable table.
 _NO_TABLE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "DELTA_TABLE_NOT_FOUND")
@@ -25,11 +26,14 @@ def read_table(spark: SparkSession, path: str, table_format: str = "parquet") ->
 
 
 def resolve_table(spark: SparkSession, lake: Lake, layer: str) -> tuple[str, DataFrame | None]:
-    """First candidate location that holds a table, else the first candidate."""
+    """First candidate location that holds a table, else the first candidate.
+
+    Of a bronze table that also holds diverted messages only the events count.
+    """
     for path in lake.candidates(layer):
         table = read_table(spark, path, lake.format)
         if table is not None:
-            return path, table
+            return path, medallion.landed_events(table) if "diverted" in table.columns else table
     return lake.candidates(layer)[0], None
 
 

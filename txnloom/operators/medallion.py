@@ -46,6 +46,33 @@ def unreadable(decoded: DataFrame) -> DataFrame:
     return decoded.filter("is_malformed").select("raw_event", "ingestion_timestamp")
 
 
+def landing(decoded: DataFrame) -> DataFrame:
+    """Rows of the bronze table: every message once, diverted ones with their text.
+
+    ``diverted`` (0 or 1) is the table's partition column, so that readers of
+    either kind of rows never open files of the other.
+    """
+    text = F.when(F.col("is_malformed"), F.col("raw_event")).alias("raw_event")
+    events = [c for c in decoded.columns if c not in ("is_malformed", "raw_event")]
+    return decoded.select(*events, text, F.col("is_malformed").cast("int").alias("diverted"))
+
+
+def landed_events(landed: DataFrame) -> DataFrame:
+    """The events of the bronze table, as of ``readable``."""
+    return landed.filter("diverted = 0").drop("diverted", "raw_event")
+
+
+def landed_rejects(landed: DataFrame) -> DataFrame:
+    """The diverted messages of the bronze table, as of ``unreadable``."""
+    return landed.filter("diverted = 1").select("raw_event", "ingestion_timestamp")
+
+
+def event_key() -> Column:
+    """What tells an event from others: its id, else a digest of its content."""
+    content = F.to_json(F.struct(*[n for n in CANONICAL_EVENT.names if n not in ("sender_id", "receiver_id")]))
+    return F.coalesce(F.col("event_id"), F.concat(F.lit("#"), F.sha2(content, 256)))
+
+
 def silver(events: DataFrame) -> DataFrame:
     """Events with balance features and mismatch flags, without account ids."""
     kept = [n for n in CANONICAL_EVENT.names if n not in ("sender_id", "receiver_id")]
@@ -181,6 +208,50 @@ def merge_gold(partials: DataFrame) -> DataFrame:
     )
 
 
+def gold_period(rows: DataFrame) -> DataFrame:
+    """Add ``period``, the partition of the gold table: a day of windows, or all per-type rows."""
+    day = F.date_format("window_start", "'d'yyyyMMdd")
+    return rows.withColumn("period", F.when(F.col("summary_level").startswith("window"), day).otherwise("all"))
+
+
+def combine_gold(rows: DataFrame) -> DataFrame:
+    """Rows of the gold table joined to one per summary, with the time of the latest batch."""
+    is_window = F.col("summary_level").startswith("window")
+    stamps = rows.groupBy(
+        "summary_level",
+        "source_dataset",
+        "type",
+        F.when(is_window, F.col("window_start")).alias("window_start"),
+        F.when(is_window, F.col("window_end")).alias("window_end"),
+        "period",
+    )
+    weighted = F.sum(F.col("average_amount") * F.col("amount_count"))
+    mean = F.try_divide(weighted, F.sum("amount_count"))
+    sums = ("transaction_count", "amount_count", "high_amount_count", "zero_balance_count")
+    latest = F.max("updated_at")
+    merged = stamps.agg(
+        *[F.sum(c).alias(c) for c in sums], F.when(is_window, F.lit(0.0)).otherwise(mean).alias("average_amount"),
+        latest.alias("updated_at"),
+    )
+    times = {c: F.coalesce(F.col(c), F.col("updated_at")) for c in ("window_start", "window_end")}
+    return merged.withColumns(times).select(*GOLD_COLUMNS, "period")
+
+
+GOLD_COLUMNS = (
+    "source_dataset",
+    "type",
+    "transaction_count",
+    "average_amount",
+    "amount_count",
+    "high_amount_count",
+    "zero_balance_count",
+    "summary_level",
+    "window_start",
+    "window_end",
+    "updated_at",
+)
+
+
 def scored_decisions(scored: DataFrame) -> DataFrame:
     """Scored events flattened to the decision table."""
     return scored.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from txnloom.functions.casts import first_text, safe_double, safe_int, utc_now_text
 from txnloom.schemas import CANONICAL_EVENT
+from txnloom.sources.writers import written
 
 
 def _fallback_id(df: DataFrame, stable_ids: bool) -> Column:
@@ -85,15 +86,42 @@ def normalize_ieee(df: DataFrame, *, stable_ids: bool = True) -> DataFrame:
     )
 
 
-def join_identity(transactions: DataFrame, identity: DataFrame) -> DataFrame:
+# Rows of one id that a task of the identity join takes on either side.
+HEAVY_ROWS = 100_000
+# Tasks that rows without an id, which meet nothing, are spread over.
+NULL_PARTS = 1024
+
+
+def join_identity(transactions: DataFrame, identity: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Left join on TransactionID; several identities repeat the transaction.
 
-    Written as inner join plus the transactions without identity.  AQE can
-    split a hot id on both sides of an inner join, but not on the right side of
-    an outer one; the other part only needs the distinct ids.  No broadcast
-    hint: the identity side grows with the data.
+    Both inputs are read once and written as columns, from which the rows of
+    every id are counted.  Only ids with more than ``heavy_rows`` on a side are
+    salted: their rows are dealt to parts of that size, and every part meets a
+    copy of the other side's, so a task never holds more than a part of each.
     """
     key = "TransactionID"
-    matched = transactions.join(identity, key)
-    alone = transactions.join(identity.select(key).distinct(), key, "left_anti")
-    return matched.unionByName(alone, allowMissingColumns=True)
+    left, right = written(transactions, "transactions"), written(identity, "identity")
+
+    def parts(side: DataFrame, name: str) -> DataFrame:
+        heavy = side.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > heavy_rows)
+        return heavy.select(key, F.ceil(F.col("n") / heavy_rows).cast("int").alias(name))
+
+    # At most rows / heavy_rows ids; adaptive execution broadcasts them while they are few.
+    heavy = written(parts(left, "_lefts").join(parts(right, "_rights"), key, "full"), "heavy")
+    counts = {c: F.coalesce(c, F.lit(1)) for c in ("_lefts", "_rights")}
+    dealt = {}
+    for side, mine, others in ((left, "_lefts", "_rights"), (right, "_rights", "_lefts")):
+        # The place in a written file repeats when a task does.
+        place = F.monotonically_increasing_id()
+        split = F.when(F.col(key).isNull(), F.lit(NULL_PARTS)).otherwise(F.col(mine))
+        salted = side.withColumn("_place", place).join(heavy, key, "left").withColumns(counts)
+        salted = salted.withColumn(mine[:-1], F.pmod("_place", split).cast("int"))
+        dealt[mine] = salted.withColumn(others[:-1], F.explode(F.sequence(F.lit(0), F.col(others) - 1))).drop("_place")
+    one = dealt["_lefts"].drop("_lefts")
+    two = dealt["_rights"].drop("_lefts", "_rights").withColumn("_found", F.lit(True))
+    joined = one.join(two, [key, "_left", "_right"], "left")
+    # A copy that meets no row of its part says nothing where other parts have rows.
+    kept = joined.filter(F.col("_found").isNotNull() | (F.col("_rights") == 1))
+    names = [*transactions.columns, *[c for c in identity.columns if c != key]]
+    return kept.select(key, *[c for c in names if c != key])

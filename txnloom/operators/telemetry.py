@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txnloom.sources.writers import written
+
 UNKNOWN = "UNKNOWN"
 
 # Histogram bounds of the exported metrics.
@@ -141,88 +143,94 @@ def _minute(column: str) -> Column:
     return F.floor(F.unix_seconds(F.col(column).cast("timestamp")) / 60) + 1
 
 
-def _trailing(per_minute: DataFrame, minutes: int) -> DataFrame:
-    """Spread minute rows over the evaluations whose window contains them.
+_DAY = 24 * 60
 
-    Rows are minutes, already aggregated, so the fan-out is window length times
-    the number of minutes and does not depend on the traffic.
-    """
-    ends = F.sequence(F.col("minute"), F.col("minute") + F.lit(minutes - 1))
-    return per_minute.withColumn("evaluated_at", F.explode(ends))
 
+def _minute_table(rows: DataFrame, time: str, sums: dict[str, Column]) -> DataFrame:
+    """One written row per minute with the given sums; what every alert on these rows works from."""
+    minutes = rows.filter(F.col(time).isNotNull()).groupBy(_minute(time).alias("minute"))
+    return written(minutes.agg(*[c.alias(n) for n, c in sums.items()]), "minutes")
 
-def _firing(evaluated: DataFrame, alert: Alert) -> DataFrame:
-    """Evaluations at which the condition has held long enough.
 
-    The condition must be true now and at every evaluation of the hold time.
-    Each true evaluation votes for the ones it supports; a full set of votes
-    fires.  A keyed count does this without ordering all time in one task.
+def _measured(minutes: DataFrame, alert: Alert, sums: Sequence[str], value: Column) -> DataFrame:
+    """Intervals of minutes over which the trailing sums stay as they are, with ``value`` of them.
+
+    A minute enters the window at its end and leaves it ``window_minutes``
+    later, so sums change at two times for each minute that has rows, whatever
+    the length of the window: they are running totals of what comes and goes.
+    Days are separate tasks; a minute counts for the day before whose end its
+    effect lies and for the one after, if it reaches that far.
     """
-    true_now = evaluated.filter(F.col("value") > alert.bound)
-    supported = F.sequence(
-        F.col("evaluated_at"), F.col("evaluated_at") + F.lit(alert.hold_minutes)
+    reach = alert.window_minutes + alert.hold_minutes
+    days = F.array_distinct(
+        F.array(F.floor(F.col("minute") / _DAY), F.floor((F.col("minute") + F.lit(reach)) / _DAY))
     )
-    votes = true_now.select(
-        F.explode(supported).alias("fires_at"),
-        "value",
-        F.col("evaluated_at").alias("seen_at"),
+    changes = F.array(
+        F.struct(F.col("minute").alias("at"), F.lit(1).alias("sign")),
+        F.struct((F.col("minute") + F.lit(alert.window_minutes)).alias("at"), F.lit(-1).alias("sign")),
     )
-    return (
-        votes.groupBy("fires_at")
-        .agg(
-            F.count("*").alias("votes"),
-            F.max(F.when(F.col("seen_at") == F.col("fires_at"), F.col("value"))).alias("value"),
-        )
-        .filter(F.col("votes") == alert.hold_minutes + 1)
-        .select(
-            F.lit(alert.name).alias("alert"),
-            F.lit(alert.severity).alias("severity"),
-            F.timestamp_seconds(F.col("fires_at") * 60).alias("fires_at"),
-            "value",
-        )
+    changed = (
+        minutes.withColumn("day", F.explode(days))
+        .withColumn("c", F.explode(changes))
+        .groupBy("day", F.col("c.at").alias("at"))
+        .agg(*[F.sum(F.col(n) * F.col("c.sign")).alias(n) for n in sums])
     )
+    order = Window.partitionBy("day").orderBy("at")
+    total = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = changed.select("day", "at", F.lead("at").over(order).alias("until"), *[F.sum(n).over(total).alias(n) for n in sums])
+    # Before this minute the day does not know all that the window holds.
+    first = F.col("day") * _DAY - F.lit(alert.hold_minutes)
+    known = running.filter((F.col("until") > first) & (F.col("at") < (F.col("day") + 1) * _DAY))
+    return known.select("day", F.greatest("at", first).alias("at"), "until", value.alias("value"))
 
 
-def _rate(rows: DataFrame, time: str, condition: Column, alert: Alert) -> DataFrame:
-    per_minute = rows.groupBy(_minute(time).alias("minute")).agg(F.count_if(condition).alias("n"))
-    window_seconds = F.lit(alert.window_minutes * 60.0)
-    return (
-        _trailing(per_minute, alert.window_minutes)
-        .groupBy("evaluated_at")
-        .agg((F.sum("n") / window_seconds).alias("value"))
-    )
-
+def _firing(measured: DataFrame, alert: Alert) -> DataFrame:
+    """Minutes at which the condition has held long enough.
 
-def _latency(requests: DataFrame, alert: Alert, bounds: Sequence[float]) -> DataFrame:
-    seconds = F.col("duration_ms") / F.lit(1000.0)
-    names = [f"b{i}" for i in range(len(bounds))]
-    per_minute = requests.groupBy(_minute("timestamp").alias("minute")).agg(
-        F.count("*").alias("n"),
-        *[c.alias(n) for c, n in zip(_cumulative(seconds, bounds), names, strict=True)],
-    )
-    summed = (
-        _trailing(per_minute, alert.window_minutes)
-        .groupBy("evaluated_at")
-        .agg(F.sum("n").alias("n"), F.array(*[F.sum(n) for n in names]).alias("counts"))
+    The condition must be true now and at every minute of the hold time, so a
+    run of true intervals fires from its start plus the hold time on.
+    """
+    order = Window.partitionBy("day").orderBy("at")
+    holds = F.coalesce(F.col("value") > alert.bound, F.lit(False))
+    runs = measured.withColumn("holds", holds).withColumn(
+        "run", F.count_if(~F.col("holds")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
-    return summed.select(
-        "evaluated_at",
-        _bucket_quantile(F.col("counts"), F.col("n"), bounds, LATENCY_QUANTILE).alias("value"),
+    true_runs = runs.filter("holds").withColumn("since", F.min("at").over(Window.partitionBy("day", "run")))
+    start = F.greatest(F.col("at"), F.col("since") + F.lit(alert.hold_minutes), F.col("day") * _DAY)
+    end = F.least(F.col("until"), (F.col("day") + 1) * _DAY) - 1
+    fired = true_runs.select("value", start.alias("start"), end.alias("end")).filter("start <= end")
+    minutes = fired.select("value", F.explode(F.sequence("start", "end")).alias("fires_at"))
+    return minutes.select(
+        F.lit(alert.name).alias("alert"),
+        F.lit(alert.severity).alias("severity"),
+        F.timestamp_seconds(F.col("fires_at") * 60).alias("fires_at"),
+        "value",
     )
 
 
+def _rate(minutes: DataFrame, column: str, alert: Alert) -> DataFrame:
+    return _measured(minutes, alert, [column], F.col(column) / F.lit(alert.window_minutes * 60.0))
+
+
 def alert_windows(
     requests: DataFrame,
     predictions: DataFrame,
     bounds: Sequence[float] = LATENCY_BOUNDS,
     prediction_time: str = "created_at",
 ) -> DataFrame:
-    """Every minute at which one of the alerts fires, with its measure."""
-    server_error = F.col("status_code").between(500, 599)
-    high_risk = F.col("risk_level") == "HIGH"
+    """Every minute at which one of the alerts fires, with its measure.
+
+    Either table is read once, into one row per minute with all its sums.
+    """
+    seconds = F.col("duration_ms") / F.lit(1000.0)
+    latencies = {f"b{i}": c for i, c in enumerate(_cumulative(seconds, bounds))}
+    errors = F.count_if(F.col("status_code").between(500, 599))
+    served = _minute_table(requests, "timestamp", {"n": F.count("*"), "errors": errors} | latencies)
+    risky = _minute_table(predictions, prediction_time, {"risky": F.count_if(F.col("risk_level") == "HIGH")})
+    p95 = _bucket_quantile(F.array(*[F.col(b) for b in latencies]), F.col("n"), bounds, LATENCY_QUANTILE)
     parts = [
-        _firing(_rate(requests, "timestamp", server_error, SERVER_ERRORS), SERVER_ERRORS),
-        _firing(_latency(requests, SLOW_REQUESTS, bounds), SLOW_REQUESTS),
-        _firing(_rate(predictions, prediction_time, high_risk, HIGH_RISK_SPIKE), HIGH_RISK_SPIKE),
+        _firing(_rate(served, "errors", SERVER_ERRORS), SERVER_ERRORS),
+        _firing(_measured(served, SLOW_REQUESTS, ["n", *latencies], p95), SLOW_REQUESTS),
+        _firing(_rate(risky, "risky", HIGH_RISK_SPIKE), HIGH_RISK_SPIKE),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -18,6 +18,7 @@ from txnloom.plans.oracle import (
     over_messages,
     over_txn,
 )
+from txnloom.schemas import SCORED_EVENT
 
 # Input shapes with gaps and unusable text, the same SQL on both sides.
 _PAYSIM = """
@@ -194,7 +195,7 @@ def contract_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         hit = F.col("key").cast("bigint") % divisor == 0
         value = F.regexp_replace(value, F.when(hit, pattern).otherwise("$^"), F.lit(text))
     messages = messages.withColumn("value", value)
-    return quality.check_contract(messages, SCORED_CONTRACT).select("key", "contract_error")
+    return quality.check_contract(messages, SCORED_CONTRACT, layout=SCORED_EVENT).select("key", "contract_error")
 
 
 _OUT_OF_RANGE = """

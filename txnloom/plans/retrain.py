@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -50,14 +51,18 @@ def candidates(train: DataFrame, test: DataFrame, **sizes) -> list[training.Cand
 
 
 def model_report(
-    train: DataFrame,
+    counts: Mapping[str, int],
     test: DataFrame,
     best: training.Candidate,
     strategy: str,
     dataset: str,
     model_path: str,
 ) -> DataFrame:
-    """The one-row report document of a retraining run."""
+    """The one-row report document of a retraining run.
+
+    ``counts`` has the rows of the whole dataset (training_rows), of those the
+    fitted_rows and the held_out_rows; with ``max_rows`` some are neither.
+    """
     scored = predict_probability(test, best.model).select(training.LABEL, PROBABILITY)
     line = F.struct(
         "threshold",
@@ -76,8 +81,7 @@ def model_report(
     return thresholds.select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("retrained_at"),
         F.lit(dataset).alias("dataset_path"),
-        F.lit(train.count()).alias("training_rows"),
-        F.lit(test.count()).alias("held_out_rows"),
+        *[F.lit(counts[c]).cast("bigint").alias(c) for c in ("training_rows", "fitted_rows", "held_out_rows")],
         F.lit(strategy).alias("validation_strategy"),
         F.array(*[F.lit(c) for c in MODEL_COLUMNS]).alias("features"),
         F.lit(training.LABEL).alias("target"),
@@ -108,13 +112,21 @@ def retrain(
     training.require_two_classes(rows)
     split, strategy = splits.validation_split(rows)
     train, test = splits.parts(split)
+    sizes_of = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
+    fitted = sizes_of.get(splits.TRAIN, 0)
     if max_rows is not None:
         train = splits.sample_rows(train, max_rows)
+        fitted = train.count()
+    counts = {
+        "training_rows": sum(sizes_of.values()),
+        "fitted_rows": fitted,
+        "held_out_rows": sizes_of.get(splits.TEST, 0),
+    }
     found = candidates(train, test, **sizes)
     best = max(found, key=lambda c: c.score)  # max keeps the first of equals
     model_path = f"{output}/model"
     best.model.write().overwrite().save(model_path)
-    report = model_report(train, test, best, strategy, dataset, model_path)
+    report = model_report(counts, test, best, strategy, dataset, model_path)
     runs = training.run_records(rows, found)
     write_report(report, f"{output}/model_metadata", f"{output}/retraining_report")
     append(runs, f"{output}/model_runs")

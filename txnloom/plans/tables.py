@@ -89,52 +89,85 @@ _FROM_BRONZE = (
 @query("gold_merged", over_messages(_gold_sql("flagged"), _FROM_BRONZE))
 def gold_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The channel is delivered in two parts and the job runs after each, so
-    windows and types recur in two batches that the read view merges."""
+    windows and types recur in two batches that the gold table merges."""
     channel = Channel("parquet", path=f"{new_workspace(spark, 'gold_merged')}/raw")
     lake = Lake(channel.path.removesuffix("/raw"))
     messages = raw_messages(spark, sf_dir)
     late = F.crc32("key") % 2 == 1
     for part in (messages.filter(~late), messages.filter(late)):
         publish(part, channel)
-        pipelines.start_gold(spark, channel, lake, once=True).awaitTermination()
-    partials = spark.read.format(lake.format).load(lake.table("gold"))
-    return _rounded(medallion.merge_gold(partials))
+        pipelines.run_raw_to_lake(spark, channel, lake, once=True)
+    rows = spark.read.format(lake.format).load(lake.table("gold"))
+    return _rounded(_without_batch_time(rows.drop("updated_at", "batches", "period")))
 
 
 @query("stream_bronze", over_messages("SELECT * FROM bronze"))
 def stream_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     channel, root = raw_channel(spark, sf_dir, "stream_bronze")
     lake = Lake(root)
-    pipelines.start_bronze(spark, channel, lake, once=True).awaitTermination()
-    return spark.read.format(lake.format).load(lake.table("bronze")).drop("ingestion_timestamp")
+    pipelines.start_bronze(spark, channel, lake, once=True).finish()
+    return lake_ops.resolve_table(spark, lake, "bronze")[1].drop("ingestion_timestamp")
+
+
+_SILVER_SQL = """
+    SELECT event_id, event_time, source_dataset, step, type, amount, oldbalanceOrg,
+        newbalanceOrig, oldbalanceDest, newbalanceDest, isFlaggedFraud, isFraud,
+        oldbalanceOrg - newbalanceOrig AS balance_diff_orig,
+        newbalanceDest - oldbalanceDest AS balance_diff_dest,
+        amount / (oldbalanceOrg + 1.0::DOUBLE) AS amount_to_oldbalance_ratio,
+        (newbalanceOrig = 0)::INTEGER AS is_zero_balance_after_txn,
+        coalesce((abs((oldbalanceOrg - amount) - newbalanceOrig) > 1)::INTEGER, 0)
+            AS sender_balance_mismatch,
+        coalesce((abs((oldbalanceDest + amount) - newbalanceDest) > 1)::INTEGER, 0)
+            AS receiver_balance_mismatch,
+        event_timestamp
+    FROM bronze
+"""
 
 
-@query(
-    "stream_silver",
-    over_messages(
-        """
-        SELECT event_id, event_time, source_dataset, step, type, amount, oldbalanceOrg,
-            newbalanceOrig, oldbalanceDest, newbalanceDest, isFlaggedFraud, isFraud,
-            oldbalanceOrg - newbalanceOrig AS balance_diff_orig,
-            newbalanceDest - oldbalanceDest AS balance_diff_dest,
-            amount / (oldbalanceOrg + 1.0::DOUBLE) AS amount_to_oldbalance_ratio,
-            (newbalanceOrig = 0)::INTEGER AS is_zero_balance_after_txn,
-            coalesce((abs((oldbalanceOrg - amount) - newbalanceOrig) > 1)::INTEGER, 0)
-                AS sender_balance_mismatch,
-            coalesce((abs((oldbalanceDest + amount) - newbalanceDest) > 1)::INTEGER, 0)
-                AS receiver_balance_mismatch,
-            event_timestamp
-        FROM bronze
-        """
-    ),
-)
+@query("stream_silver", over_messages(_SILVER_SQL))
 def stream_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     channel, root = raw_channel(spark, sf_dir, "stream_silver")
     lake = Lake(root)
-    pipelines.start_silver(spark, channel, lake, once=True).awaitTermination()
+    pipelines.start_bronze(spark, channel, lake, once=True).finish()
+    pipelines.start_silver(spark, lake, once=True).finish()
+    return spark.read.format(lake.format).load(lake.table("silver")).drop("ingestion_timestamp")
+
+
+@query("stream_unique", over_messages(_SILVER_SQL))
+def stream_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A producer sends half of its messages again, in the same delivery or
+    after a restart of the job; every event arrives in silver once."""
+    root = new_workspace(spark, "stream_unique")
+    channel, lake = Channel("parquet", path=f"{root}/raw"), Lake(root)
+    messages = raw_messages(spark, sf_dir)
+    again = messages.filter(F.crc32("key") % 2 == 1)
+    for part in (messages.unionAll(again.filter(F.crc32("key") % 3 == 1)), again):
+        publish(part, channel)
+        pipelines.start_bronze(spark, channel, lake, once=True).finish()
+        pipelines.start_silver(spark, lake, once=True, unique_within="1 day").finish()
     return spark.read.format(lake.format).load(lake.table("silver")).drop("ingestion_timestamp")
 
 
+@query(
+    "layer_counts",
+    over_messages(
+        f"""
+        SELECT 'bronze' AS layer, count(*) AS rows_written FROM bronze
+        UNION ALL SELECT 'unreadable', count(*) FROM msg WHERE no_event
+        UNION ALL SELECT 'silver', count(*) FROM bronze
+        UNION ALL SELECT 'gold', count(*) FROM ({_gold_sql("flagged")})
+        """,
+        _FROM_BRONZE,
+    ),
+)
+def layer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a bounded run reports for its layers, without reading them again."""
+    channel, root = raw_channel(spark, sf_dir, "layer_counts")
+    run = pipelines.run_raw_to_lake(spark, channel, Lake(root), once=True)
+    return spark.createDataFrame(sorted(run.rows.items()), "layer string, rows_written long")
+
+
 @query(
     "stream_windows",
     over_messages(
@@ -156,11 +189,45 @@ def stream_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     channel, root = raw_channel(spark, sf_dir, "stream_windows")
     lake = Lake(root)
-    pipelines.start_windows(spark, channel, lake, once=True).awaitTermination()
+    pipelines.start_bronze(spark, channel, lake, once=True).finish()
+    pipelines.start_silver(spark, lake, once=True).finish()
+    pipelines.start_windows(spark, lake, once=True).finish()
     emitted = spark.read.format(lake.format).load(f"{lake.root}/gold/window_measures")
     return emitted.withColumn("total_amount", F.round("total_amount", 2))
 
 
+@query(
+    "stream_late",
+    over_messages(
+        """
+        SELECT outcome, count(*) AS row_count FROM (
+            SELECT CASE WHEN event_timestamp IS NULL THEN 'untimed'
+                WHEN event_id::BIGINT % 7 = 3 AND event_timestamp <= (SELECT max(event_timestamp) FROM bronze
+                    WHERE event_id::BIGINT % 7 <> 3) - INTERVAL 1 HOUR THEN 'late'
+                ELSE 'kept' END AS outcome
+            FROM bronze)
+        GROUP BY outcome
+        """
+    ),
+)
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of the events of a channel whose last delivery comes late."""
+    root = new_workspace(spark, "stream_late")
+    channel, lake = Channel("parquet", path=f"{root}/raw"), Lake(root)
+    messages = raw_messages(spark, sf_dir)
+    late = F.col("key").cast("bigint") % 7 == 3
+    found: dict[str, int] = {}
+    for part in (messages.filter(~late), messages.filter(late)):
+        publish(part, channel)
+        pipelines.start_bronze(spark, channel, lake, once=True).finish()
+        pipelines.start_silver(spark, lake, once=True).finish()
+        windows = pipelines.start_windows(spark, lake, once=True)
+        windows.finish()
+        outcomes = {"kept": windows.total("kept.rows"), "late": windows.late(), "untimed": windows.total("read.untimed")}
+        found = {k: found.get(k, 0) + n for k, n in outcomes.items()}
+    return spark.createDataFrame([(k, n) for k, n in found.items() if n], "outcome string, row_count long")
+
+
 @query(
     "scored_decisions",
     over_decisions(

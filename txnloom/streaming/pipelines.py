@@ -8,10 +8,12 @@ continuous mode, a second run continues instead of duplicating rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from txnloom.config import Channel, Lake
@@ -21,58 +23,131 @@ from txnloom.functions.rules import HIGH_VALUE_AMOUNT
 from txnloom.operators import logs, medallion, scoring
 from txnloom.operators.explain import explain
 from txnloom.operators.quality import check_contract, split_triaged, triage
-from txnloom.sources.readers import stream_messages
-from txnloom.sources.writers import append_stream, publish, write_batch
+from txnloom.schemas import SCORED_EVENT
+from txnloom.sources.readers import MESSAGE, stream_messages, stream_table
+from txnloom.sources.writers import append_stream, merge_batch, prepare_table, publish, write_batch
 
 
-def bronze_stream(spark: SparkSession, source: Channel) -> DataFrame:
-    return medallion.readable(medallion.decode(stream_messages(spark, source)))
+# Seconds between two looks at the progress of a bounded run.
+POLL = 2
 
 
-def start_bronze(spark: SparkSession, source: Channel, lake: Lake, once: bool) -> StreamingQuery:
-    return append_stream(
-        bronze_stream(spark, source),
-        lake.table("bronze"),
-        lake.checkpoint("bronze"),
-        lake.format,
-        once=once,
-    )
+@dataclass
+class Layer:
+    """A running query with the rows that its micro-batches reported.
 
+    Counts come from metrics observed on the stream itself, batch by batch, so
+    no table is read again for them.
+    """
 
-def start_unreadable(
-    spark: SparkSession, source: Channel, lake: Lake, once: bool
-) -> StreamingQuery:
-    """Messages that are no events go to their own table, not to bronze."""
-    rejected = medallion.unreadable(medallion.decode(stream_messages(spark, source)))
-    return append_stream(
-        rejected,
-        f"{lake.root}/bronze/unreadable",
-        lake.checkpoint("unreadable"),
-        lake.format,
-        once=once,
-    )
+    name: str
+    query: StreamingQuery
+    metrics: dict[int, dict[str, int]] = field(default_factory=dict)
+    dropped: dict[int, tuple[int, int]] = field(default_factory=dict)
 
+    def look(self) -> None:
+        """Take over what recent progress reports say; a repeated batch counts once."""
+        for report in self.query.recentProgress:
+            for name, row in report.observedMetrics.items():
+                self.metrics.setdefault(report.batchId, {}).update(
+                    {f"{name}.{k}" if name != self.name else k: v for k, v in row.asDict().items()}
+                )
+            for operator in report.stateOperators:
+                if "dedupe" in operator.operatorName.lower():
+                    repeats = operator.customMetrics.get("numDroppedDuplicateRows", 0)
+                    self.dropped[report.batchId] = (operator.numRowsDroppedByWatermark, repeats)
 
-def start_silver(spark: SparkSession, source: Channel, lake: Lake, once: bool) -> StreamingQuery:
-    return append_stream(
-        medallion.silver(bronze_stream(spark, source)),
-        lake.table("silver"),
-        lake.checkpoint("silver"),
-        lake.format,
-        once=once,
+    def finish(self) -> None:
+        """Wait for a bounded run, looking often enough to miss no report."""
+        while not self.query.awaitTermination(POLL):
+            self.look()
+        self.look()
+
+    def total(self, metric: str = "rows") -> int:
+        return sum(m.get(metric) or 0 for m in self.metrics.values())
+
+    def late(self) -> int:
+        """Rows that came after the watermark had passed them."""
+        return sum(late for late, _ in self.dropped.values())
+
+    def repeated(self) -> int:
+        """Rows whose event had come before."""
+        return sum(repeats for _, repeats in self.dropped.values())
+
+
+def _observed(df: DataFrame, name: str, **more: Column) -> DataFrame:
+    columns = [F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in more.items()]]
+    return df.observe(name, *columns)
+
+
+def _bronze_layout(spark: SparkSession) -> T.StructType:
+    return medallion.landing(medallion.decode(spark.createDataFrame([], MESSAGE))).schema
+
+
+def _bronze_table(spark: SparkSession, lake: Lake) -> DataFrame:
+    return stream_table(spark, lake.table("bronze"), _bronze_layout(spark), lake.format)
+
+
+def _silver_table(spark: SparkSession, lake: Lake) -> DataFrame:
+    events = medallion.landed_events(spark.createDataFrame([], _bronze_layout(spark)))
+    return stream_table(spark, lake.table("silver"), medallion.silver(events).schema, lake.format)
+
+
+def start_bronze(spark: SparkSession, source: Channel, lake: Lake, once: bool) -> Layer:
+    """The only query that reads and decodes the channel."""
+    landed = medallion.landing(medallion.decode(stream_messages(spark, source)))
+    counted = _observed(landed, "bronze", diverted=F.count_if(F.col("diverted") == 1))
+    query = append_stream(
+        counted, lake.table("bronze"), lake.checkpoint("bronze"), lake.format, once=once, by=["diverted"]
     )
+    return Layer("bronze", query)
+
+
+def start_unreadable(spark: SparkSession, lake: Lake, once: bool) -> Layer:
+    """Messages that are no events, from the bronze table to a table of their own."""
+    rejects = _observed(medallion.landed_rejects(_bronze_table(spark, lake)), "unreadable")
+    path = f"{lake.root}/bronze/unreadable"
+    return Layer("unreadable", append_stream(rejects, path, lake.checkpoint("unreadable"), lake.format, once=once))
+
+
+def each_once(events: DataFrame, horizon: str) -> DataFrame:
+    """A stream of events without those that came before, by id or content.
+
+    An event is remembered for ``horizon`` after it was ingested, so the state
+    is bounded; ingestion only moves forward, so that no event is late here.
+    """
+    keyed = events.withColumn("_event", medallion.event_key()).withWatermark("ingestion_timestamp", horizon)
+    return keyed.dropDuplicatesWithinWatermark(["_event"]).drop("_event")
+
+
+def start_silver(spark: SparkSession, lake: Lake, once: bool, unique_within: str | None = None) -> Layer:
+    """Events of the bronze table with their features.
+
+    Channels that repeat messages (a producer that sends again, a replay) need
+    ``unique_within``, the time for which an event id is remembered.
+    """
+    events = medallion.landed_events(_bronze_table(spark, lake))
+    if unique_within:
+        events = each_once(events, unique_within)
+    rows = _observed(medallion.silver(events), "silver")
+    return Layer("silver", append_stream(rows, lake.table("silver"), lake.checkpoint("silver"), lake.format, once=once))
+
+
+GOLD_KEYS = ("summary_level", "source_dataset", "type", "window_start")
 
 
-def gold_batch_writer(lake: Lake) -> Callable[[DataFrame, int], None]:
-    """Micro-batch writer of the gold summaries; an empty batch writes nothing.
+def gold_batch_writer(lake: Lake, counts: dict[int, dict[str, int]] | None = None) -> Callable[[DataFrame, int], None]:
+    """Micro-batch writer of the gold summaries.
 
-    The summaries of a batch take one pass over it (see ``medallion.gold``), so
-    the batch needs no cache.  Windows may recur in later batches; readers use
-    ``medallion.merge_gold``.
+    The summaries of a batch take one pass over it (see ``medallion.gold``) and
+    are merged by key, so a window that recurs in later batches stays one row.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch(medallion.gold(batch), lake.table("gold"), batch_id, lake.format)
+        fresh = medallion.gold_period(medallion.gold(batch))
+        rows = merge_batch(fresh, lake.table("gold"), batch_id, GOLD_KEYS, medallion.combine_gold, "period", lake.format)
+        if counts is not None:
+            counts[batch_id] = {"rows": rows}
 
     return write
 
@@ -86,40 +161,81 @@ def _start_batches(
     return writer.start()
 
 
-def start_gold(spark: SparkSession, source: Channel, lake: Lake, once: bool) -> StreamingQuery:
-    silver_rows = medallion.silver(bronze_stream(spark, source))
-    return _start_batches(silver_rows, gold_batch_writer(lake), lake.checkpoint("gold"), once)
+def start_gold(spark: SparkSession, lake: Lake, once: bool) -> Layer:
+    """Summaries of the silver table; the layer's rows are the summaries merged in."""
+    counts: dict[int, dict[str, int]] = {}
+    write = gold_batch_writer(lake, counts)
+    query = _start_batches(_silver_table(spark, lake), write, lake.checkpoint("gold"), once)
+    return Layer("gold", query, counts)
 
 
-def run_raw_to_lake(
-    spark: SparkSession, source: Channel, lake: Lake, *, once: bool = False
-) -> list[StreamingQuery]:
-    """Bronze, silver and gold as independent queries over the raw channel."""
-    starters = (start_bronze, start_unreadable, start_silver, start_gold)
-    queries = [start(spark, source, lake, once) for start in starters]
-    return finish(spark, queries, once)
+@dataclass(frozen=True)
+class LakeRun:
+    """Layers of a run; ``rows`` of a bounded one are those that it wrote."""
 
+    layers: dict[str, Layer]
+
+    @property
+    def rows(self) -> dict[str, int]:
+        found = {name: layer.total() for name, layer in self.layers.items()}
+        if "bronze" in found:
+            found["bronze"] -= self.layers["bronze"].total("diverted")
+        return found
 
-def finish(spark: SparkSession, queries: list[StreamingQuery], once: bool) -> list[StreamingQuery]:
-    """Wait: bounded queries to their end, continuous ones until one stops."""
-    if once:
-        for query in queries:
-            query.awaitTermination()
-        return queries
-    spark.streams.awaitAnyTermination()
-    for query in queries:
-        query.stop()
-    return queries
+
+def run_raw_to_lake(
+    spark: SparkSession, source: Channel, lake: Lake, *, once: bool = False, unique_within: str | None = None
+) -> LakeRun:
+    """Channel to bronze, bronze to silver and the diverted messages, silver to gold.
+
+    Every layer is a query with its own checkpoint that reads the table of the
+    layer before, so the channel is read and decoded once.  A bounded run
+    finishes one layer before it starts the next; a continuous one starts all
+    and returns when any of them stops.
+    """
+    prepare_table(spark, lake.table("bronze"), _bronze_layout(spark), lake.format, ["diverted"])
+    events = medallion.landed_events(spark.createDataFrame([], _bronze_layout(spark)))
+    prepare_table(spark, lake.table("silver"), medallion.silver(events).schema, lake.format)
+    steps = (
+        (lambda: start_bronze(spark, source, lake, once),),
+        (lambda: start_unreadable(spark, lake, once), lambda: start_silver(spark, lake, once, unique_within)),
+        (lambda: start_gold(spark, lake, once),),
+    )
+    layers: dict[str, Layer] = {}
+    for starters in steps:
+        started = [start() for start in starters]
+        layers |= {layer.name: layer for layer in started}
+        if once:
+            for layer in started:
+                layer.finish()
+    if not once:
+        spark.streams.awaitAnyTermination()
+        for layer in layers.values():
+            layer.look()
+            layer.query.stop()
+    return LakeRun(layers)
+
+
+def on_time(silver_rows: DataFrame) -> DataFrame:
+    """Each event once, if it comes before the watermark has passed it.
+
+    Late and repeated rows are dropped by the state store operator, which counts
+    both, so that read = kept + late + repeated + rows without a time.
+    """
+    timed = _observed(silver_rows, "read", untimed=F.count_if(F.col("event_timestamp").isNull()))
+    timed = timed.filter(F.col("event_timestamp").isNotNull()).withColumn("_event", medallion.event_key())
+    unique = timed.withWatermark("event_timestamp", medallion.LATENESS).dropDuplicatesWithinWatermark(["_event"])
+    return _observed(unique.drop("_event"), "kept")
 
 
 def windowed_measures(silver_rows: DataFrame) -> DataFrame:
     """Measures per ten-minute window, source and type on a stream.
 
     The watermark bounds the state: a window is emitted once, after it can get
-    no more rows, and rows later than one hour are dropped.
+    no more rows; rows later than one hour are dropped and counted (``on_time``).
     """
     return (
-        silver_rows.withWatermark("event_timestamp", medallion.LATENESS)
+        on_time(silver_rows)
         .groupBy(
             F.window("event_timestamp", medallion.WINDOW).alias("w"), "source_dataset", "type"
         )
@@ -142,14 +258,16 @@ def windowed_measures(silver_rows: DataFrame) -> DataFrame:
     )
 
 
-def start_windows(spark: SparkSession, source: Channel, lake: Lake, once: bool) -> StreamingQuery:
-    return append_stream(
-        windowed_measures(medallion.silver(bronze_stream(spark, source))),
+def start_windows(spark: SparkSession, lake: Lake, once: bool) -> Layer:
+    """Measures of the silver table; the layer also knows what came late."""
+    query = append_stream(
+        windowed_measures(_silver_table(spark, lake)),
         f"{lake.root}/gold/window_measures",
         lake.checkpoint("window_measures"),
         lake.format,
         once=once,
     )
+    return Layer("windows", query)
 
 
 def score_batch_writer(
@@ -200,7 +318,7 @@ def check_scored(scored: DataFrame) -> DataFrame:
     packed = scored.withColumn("prediction", scoring.as_prediction())
     members = [F.col(c) for c in event if c in packed.columns]
     texts = packed.withColumn("raw_event", F.to_json(F.struct(*members))).drop("prediction")
-    checked = check_contract(texts, SCORED_CONTRACT, "raw_event")
+    checked = check_contract(texts, SCORED_CONTRACT, "raw_event", SCORED_EVENT)
     return checked.withColumnRenamed("contract_error", "reject_reason")
 
 
