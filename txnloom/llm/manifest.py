@@ -30,7 +30,6 @@ from txnloom.llm.shared import written
 # Children of a node, and levels of the tree that one task holds.
 FANOUT = 8
 LEVELS = 4
-BLOCK = FANOUT**LEVELS
 
 _PATH = "array<struct<left:string,right:string>>"
 
@@ -126,46 +125,48 @@ def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> Dat
     return joined.withColumn("position", F.col("_id") + F.col("_shift")).drop("_id", "_range", "_shift")
 
 
-def _levels(total: int) -> int:
-    """Levels of a block in a layer of ``total`` nodes."""
-    return LEVELS if total > BLOCK else height(total)
+def _block(nodes: pa.Table, most: int) -> tuple[pa.Table, Node, int]:
+    """The nodes of a block in order, their tree and its height.
 
-
-def _block(nodes: pa.Table) -> tuple[pa.Table, Node, int]:
-    """The nodes of a block in order, their tree and its height."""
+    A group that needs more than ``most`` levels has full blocks of that height
+    (the last one is lifted as high); else its only block is as high as it must.
+    """
     nodes = nodes.sort_by("position")
-    levels = _levels(nodes.column("total")[0].as_py())
+    levels = min(most, height(nodes.column("total")[0].as_py()))
     return nodes, grown(nodes.column("digest").to_pylist(), levels), levels
 
 
-def _by_block(nodes: DataFrame):
-    return nodes.withColumn("block", F.floor(F.col("position") / BLOCK).cast("long")).groupBy("group", "block")
+def _by_block(nodes: DataFrame, most: int):
+    block = F.floor(F.col("position") / FANOUT**most).cast("long")
+    return nodes.withColumn("block", block).groupBy("group", "block")
 
 
-def _tops(nodes: DataFrame) -> DataFrame:
+def _tops(nodes: DataFrame, most: int) -> DataFrame:
     """The layer above: one node for each block."""
 
     def build(block: pa.Table) -> pa.Table:
-        nodes, root, _ = _block(block)
+        nodes, root, _ = _block(block, most)
         first = nodes.slice(0, 1).to_pylist()[0]
-        top = (first["group"], first["block"], -(-first["total"] // BLOCK), root.digest)
+        top = (first["group"], first["block"], -(-first["total"] // FANOUT**most), root.digest)
         return pa.table({n: [v] for n, v in zip(("group", "position", "total", "digest"), top, strict=True)})
 
-    return _by_block(nodes.select("group", "position", "total", "digest")).applyInArrow(
+    return _by_block(nodes.select("group", "position", "total", "digest"), most).applyInArrow(
         build, "group long, position long, total long, digest string"
     )
 
 
-def _layers(nodes: DataFrame) -> list[DataFrame]:
+def _layers(nodes: DataFrame, most: int) -> list[DataFrame]:
     """All layers from ``nodes`` up to one node per group; each is a written table."""
     layers = [nodes]
     while True:
-        layers.append(written(_tops(layers[-1]), "manifest"))
+        layers.append(written(_tops(layers[-1], most), "manifest"))
         if (layers[-1].agg(F.max("total")).first()[0] or 0) <= 1:
             return layers
 
 
-def _with_paths(nodes: DataFrame, paths: DataFrame, out: str, rows: Callable[[pa.Table, dict], Iterator[list]]) -> DataFrame:
+def _with_paths(
+    nodes: DataFrame, paths: DataFrame, out: str, rows: Callable[[pa.Table, dict], Iterator[tuple]], most: int
+) -> DataFrame:
     """Rows that ``rows`` makes of every block of ``nodes`` and the block's own row of ``paths``."""
     names = T._parse_datatype_string(out).fieldNames()
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -179,21 +180,21 @@ def _with_paths(nodes: DataFrame, paths: DataFrame, out: str, rows: Callable[[pa
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], names=names)
 
     upper = paths.withColumnRenamed("position", "block").groupBy("group", "block")
-    return _by_block(nodes).cogroup(upper).applyInArrow(run, out)
+    return _by_block(nodes, most).cogroup(upper).applyInArrow(run, out)
 
 
-def _descended(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+def _descended(nodes: DataFrame, paths: DataFrame, most: int) -> DataFrame:
     """Paths of the nodes of a layer, from those of the layer above."""
 
     def rows(block: pa.Table, above: dict) -> Iterator[tuple]:
-        nodes, root, levels = _block(block)
+        nodes, root, levels = _block(block, most)
         upper = [(s["left"], s["right"]) for s in above["path"]]
         for slot, position in enumerate(nodes.column("position").to_pylist()):
             path = [*siblings(root, slot, levels), *upper]
             yield above["group"], position, [{"left": a, "right": b} for a, b in path], above["subroot"], above["root"]
 
     out = f"group long, position long, path {_PATH}, subroot string, root string"
-    return written(_with_paths(nodes, paths, out, rows), "manifest-paths")
+    return written(_with_paths(nodes, paths, out, rows, most), "manifest-paths")
 
 
 class Manifest:
@@ -204,7 +205,13 @@ class Manifest:
     """
 
     def __init__(
-        self, docs: DataFrame, key: str, group: str, columns: Sequence[str], changed: Mapping[str, Column] | None = None
+        self,
+        docs: DataFrame,
+        key: str,
+        group: str,
+        columns: Sequence[str],
+        changed: Mapping[str, Column] | None = None,
+        levels: int = LEVELS,
     ):
         """Rows of equal key are ordered by their digests; null keys and groups come first.
 
@@ -212,6 +219,7 @@ class Manifest:
         when its digest is another one then.  All other columns are left out, so
         their names cannot clash.
         """
+        self._levels = levels
         before, changes = leaf([F.col(c) for c in columns]), changed or {}
         after = leaf([changes.get(c, F.col(c)) for c in columns])
         rows = docs.select(
@@ -228,12 +236,12 @@ class Manifest:
         self.leaves = written(
             placed.select("group", "position", "total", "_groups", "_key", "digest", "changed"), "placed"
         )
-        self._below = _layers(self.leaves)
+        self._below = _layers(self.leaves, levels)
         counts = groups.select("group", "_groups")
         subroots = self._below[-1].join(counts, "group").select(
             F.lit(0).cast("long").alias("group"), F.col("group").alias("position"), F.col("_groups").alias("total"), "digest"
         )
-        self._above = _layers(written(subroots, "subroots"))
+        self._above = _layers(written(subroots, "subroots"), levels)
 
     def root(self) -> str | None:
         """The digest of all; None for an empty dataset."""
@@ -245,12 +253,12 @@ class Manifest:
         none = F.array().cast(_PATH).alias("path")
         paths = self._above[-1].select("group", "position", none, F.lit("").alias("subroot"), F.col("digest").alias("root"))
         for layer in reversed(self._above[:-1]):
-            paths = _descended(layer, paths)
+            paths = _descended(layer, paths, self._levels)
         subroots = self._above[0].select("position", F.col("digest").alias("subroot"))
         paths = paths.drop("subroot").join(subroots, "position")
         paths = paths.select(F.col("position").alias("group"), F.lit(0).cast("long").alias("position"), "path", "subroot", "root")
         for layer in reversed(self._below[1:-1]):
-            paths = _descended(layer, paths)
+            paths = _descended(layer, paths, self._levels)
         return paths
 
     def audit(self, key: str = "doc_id", keep_proofs: bool = False) -> DataFrame:
@@ -264,8 +272,10 @@ class Manifest:
         ``keep_proofs`` adds proof, the siblings themselves as text.
         """
 
+        most = self._levels
+
         def rows(block: pa.Table, above: dict) -> Iterator[tuple]:
-            nodes, root, levels = _block(block)
+            nodes, root, levels = _block(block, most)
             upper = [(s["left"], s["right"]) for s in above["path"]]
             rest = "".join([a + b for a, b in upper])
             keys, changes = (nodes.column(n).to_pylist() for n in ("_key", "changed"))
@@ -291,7 +301,7 @@ class Manifest:
         kind = self.leaves.schema["_key"].dataType["value"].dataType.simpleString()
         out = f"`{key}` {kind}, leaf string, subroot string, root string, proof_sha256 string, copied array<string>, "
         out += "folded_root string, verified boolean" + (", proof string" if keep_proofs else "")
-        return _with_paths(self.leaves, self.paths(), out, rows)
+        return _with_paths(self.leaves, self.paths(), out, rows, most)
 
 
 def audit(
@@ -300,10 +310,11 @@ def audit(
     group: str = "lang",
     columns: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"),
     changed: Mapping[str, Column] | None = None,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """``Manifest.audit`` of a table and of one changed version for each row that ``changed`` alters.
 
     Null values, empty and very long texts are leaves like others; repeated rows
     are leaves of their own; an empty table has no rows and no root.
     """
-    return Manifest(docs, key, group, columns, changed).audit(key)
+    return Manifest(docs, key, group, columns, changed, levels).audit(key)

@@ -105,10 +105,10 @@ def _rows(df: DataFrame, schema: str, work) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def endings(members: DataFrame) -> DataFrame:
+def endings(members: DataFrame, run: int = RUN) -> DataFrame:
     """(seq, n, conv, ends_sha256) from (seq, conv_id): the members of every sequence, hashed in order.
 
-    Members are sorted by ranges and travel in runs of RUN ids, so that a
+    Members are sorted by ranges and travel in runs of ``run`` ids, so that a
     sequence that a third of all conversations share costs one row for each run;
     a digest runs over its ids one after the other by definition.
     """
@@ -116,7 +116,7 @@ def endings(members: DataFrame) -> DataFrame:
     def pack(rows: Iterator[dict]) -> Iterator[tuple]:
         seq, ids = None, []
         for row in rows:
-            if row["seq"] != seq or len(ids) >= RUN:
+            if row["seq"] != seq or len(ids) >= run:
                 if ids:
                     yield seq, ids[0], len(ids), ",".join(map(str, ids))
                 seq, ids = row["seq"], []
