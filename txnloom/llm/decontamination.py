@@ -24,42 +24,37 @@ WINDOW = 10
 BLOCK_WINDOWS = 1 << 20
 BLOCK_BYTES = 1 << 27
 
-# What separates words once A-Z are lower case; all else is a word.
-_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# What separates words; all else, also any character beyond ASCII, is a word.
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# The same word on text whose A-Z are as they were.
-_RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def normalised(text: str) -> Column:
-    """The text with A-Z in lower case and all else as it is; null counts as empty."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    # ``lower`` changes other capitals too, so it may serve plain ASCII only.
-    plain = F.octet_length(whole) == F.length(whole)
-    return F.when(plain, F.lower(whole)).otherwise(F.translate(whole, CAPITALS, SMALL))
+def words(text: str) -> Column:
+    """The words of a text as they stand there; null counts as empty."""
+    return F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), _BETWEEN), "")
 
 
-def words(text: str) -> Column:
-    return F.filter(F.split(normalised(text), _BETWEEN + "+"), lambda w: w != "")
+def _joined(words: str, at: Column, length: Column) -> Column:
+    """``length`` words from ``at`` on with A-Z in lower case and all else as it is."""
+    return F.translate(F.array_join(F.slice(words, at + 1, length), " "), CAPITALS, SMALL)
 
 
 def _windows(hashes: str, length: int) -> Column:
-    """(at, length, hash) of every window of ``length`` words."""
+    """The hash of every window of ``length`` words, from up to four of them.
+
+    Windows that are equal have equal hashes, and what merely shares these four
+    words is told apart when the words are compared.
+    """
+    picked = sorted({0, length // 3, 2 * length // 3, length - 1})
     last = F.size(hashes) - length
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        starts,
-        lambda i: F.struct(
-            i.alias("at"),
-            F.lit(length).alias("length"),
-            F.xxhash64(F.lit(length), *[F.get(hashes, i + j) for j in range(length)]).alias("hash"),
-        ),
-    )
+    return F.transform(starts, lambda i: F.xxhash64(F.lit(length), *[F.get(hashes, i + j) for j in picked]))
 
 
 def _hashed(df: DataFrame) -> DataFrame:
-    return df.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    """Add hashes of the words in lower case: equal for words that differ in A-Z only, and for a few others."""
+    return df.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(F.lower(w))))
 
 
 def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -71,16 +66,15 @@ def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") ->
     """
     rows = benchmark.select(F.col(item).cast("string").alias("_item"), words(text).alias("_words")).filter(F.size("_words") > 0)
     short = F.when(F.size("_words") < WINDOW, F.size("_words")).otherwise(F.lit(WINDOW))
-    cut = _hashed(rows).withColumn("_length", short)
+    cut = _hashed(rows).withColumn("length", short)
     chosen = reduce(
-        lambda rest, n: F.when(F.col("_length") == n, _windows("_hashes", n)).otherwise(rest),
+        lambda rest, n: F.when(F.col("length") == n, _windows("_hashes", n)).otherwise(rest),
         range(1, WINDOW),
         _windows("_hashes", WINDOW),
     )
-    listed = cut.select("_item", "_words", F.explode(chosen).alias("_w"))
-    gram = F.array_join(F.slice("_words", F.col("_w.at") + 1, F.col("_w.length")), " ")
+    listed = cut.select("_item", "_words", "length", F.posexplode(chosen).alias("at", "hash"))
     return (
-        listed.select("_item", "_w.length", "_w.hash", gram.alias("words"))
+        listed.select("_item", "length", "hash", _joined("_words", F.col("at"), F.col("length")).alias("words"))
         .groupBy("hash", "length", "words")
         .agg(F.collect_set("_item").alias("items"))
     )
@@ -89,11 +83,18 @@ def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") ->
 def _scan(docs: DataFrame, block: DataFrame, lengths: list[int]) -> DataFrame:
     """(_key, _row, at, length, items) of every place where a window of ``block`` stands."""
     rows = _hashed(docs.select("_key", "_row", words("_text").alias("_words")))
-    at_all = F.concat(*[_windows("_hashes", n) for n in lengths]) if len(lengths) > 1 else _windows("_hashes", lengths[0])
-    places = rows.select("_key", "_row", "_words", F.explode(at_all).alias("_w"))
-    places = places.select("_key", "_row", "_words", F.col("_w.at"), F.col("_w.length"), F.col("_w.hash"))
-    hits = places.join(F.broadcast(block), ["hash", "length"])
-    same = F.array_join(F.slice("_words", F.col("at") + 1, F.col("length")), " ") == F.col("words")
+    hashes = [_windows("_hashes", n) for n in lengths]
+    listed = F.concat(*hashes) if len(hashes) > 1 else hashes[0]
+    places = rows.select("_key", "_row", "_words", F.posexplode(listed).alias("_place", "hash"))
+    hits = places.join(F.broadcast(block), "hash")
+    # The windows of one length stand behind those of the lengths before.
+    at, ahead = F.col("_place"), F.lit(0)
+    for before, n in zip(lengths, lengths[1:], strict=False):
+        ahead = ahead + F.greatest(F.size("_words") - before + 1, F.lit(0))
+        at = F.when(F.col("length") == n, F.col("_place") - ahead).otherwise(at)
+    hits = hits.select("_key", "_row", "_words", at.alias("at"), "length", "words", "items")
+    same = (F.col("at") >= 0) & (F.col("at") + F.col("length") <= F.size("_words"))
+    same = same & (_joined("_words", F.greatest("at", F.lit(0)), F.col("length")) == F.col("words"))
     return hits.filter(same).select("_key", "_row", "at", "length", "items")
 
 
@@ -147,7 +148,7 @@ def find(
         F.xxhash64(F.col(text)).alias("_row"),
         F.col(text).alias("_text"),
     )
-    count = F.regexp_count(F.coalesce("_text", F.lit("")), F.lit(_RAW_WORD)).cast("long").alias("n_words")
+    count = F.regexp_count(F.coalesce("_text", F.lit("")), F.lit(_WORD)).cast("long").alias("n_words")
     counted = named.select("*", count)
     columns = [F.col("_text").alias(n) if n == text else F.col(f"_doc.`{n}`") for n in kept]
     none = F.array().cast("array<struct<start:int,end:int>>"), F.array().cast("array<string>")
@@ -182,8 +183,8 @@ def without_runs(text: str = "text", runs: str = "hit_runs") -> Column:
     What stood before the first removed word and behind the last one stays.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    between = F.split(whole, _RAW_WORD)
-    tokens = F.filter(F.split(whole, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")
+    between = F.split(whole, _WORD)
+    tokens = words(text)
     pairs = F.transform(tokens, lambda w, i: F.concat(F.get(between, i), w))
     starts = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["end"]))
     kept = F.transform(
