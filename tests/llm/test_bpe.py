@@ -82,6 +82,23 @@ def test_round_trip_with_odd_rows(spark, theirs):
     assert [r["doc_id"] for r in done] == [r[0] for r in rows]
 
 
+def test_one_pass_equals_two(spark, theirs):
+    rows = [(k, text) for k, text in enumerate(texts(300, 8))] + [(None, None), (1, ""), (1, "é" * 5000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("decoded", "text"):
+        done = bpe.encode(frame, PATH, PATTERN, decoded=name).collect()
+        assert [list(r["ids"]) for r in done] == [theirs.encode_ordinary(t or "") for _, t in rows]
+        assert [bytes(r[name]) for r in done] == [(t or "").encode() for _, t in rows]
+
+
+def test_unknown_ids_fail(spark):
+    for ids in ([-1], [10**8], [None]):
+        with pytest.raises(Exception, match="KeyError"):
+            bpe.decode(spark.createDataFrame([(ids,)], "ids array<int>"), PATH).collect()
+    none = bpe.decode(spark.createDataFrame([(None,), ([],)], "ids array<int>"), PATH).collect()
+    assert [bytes(r["decoded"]) for r in none] == [b"", b""]
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], T.StructType([T.StructField("text", T.StringType())]))
     assert bpe.decode(bpe.encode(frame, PATH, PATTERN), PATH).filter(F.size("ids") > 0).count() == 0

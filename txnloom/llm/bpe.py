@@ -242,14 +242,45 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(ranks_of(path), pattern)
 
 
+class Decoder:
+    """Bytes of ids, read from all tokens joined in one buffer."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = {rank: data for data, rank in ranks.items()}
+        count = max(tokens, default=-1) + 1
+        self.sizes = np.array([len(tokens.get(rank, b"")) for rank in range(count)], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.known = np.array([rank in tokens for rank in range(count)], bool)
+        self.joined = np.frombuffer(b"".join(tokens.get(rank, b"") for rank in range(count)), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        if not len(ids):
+            return b""
+        if ids.min() < 0 or ids.max() >= len(self.sizes) or not self.known[ids].all():
+            raise KeyError("an id outside the vocabulary")
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        # Where the bytes of each token lie in the buffer, less where they go.
+        shifts = np.repeat(self.starts[ids] - (ends - sizes), sizes)
+        return self.joined[np.arange(ends[-1]) + shifts].tobytes()
+
+
+@cache
+def decoder(path: str) -> Decoder:
+    return Decoder(ranks_of(path))
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
     flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
 
 
+_IDS = T.ArrayType(T.IntegerType())
+
+
 def encode(
-    df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids"
+    df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None
 ) -> DataFrame:
     """Add the token ids of every whole text as ``ids`` (array of int).
 
@@ -257,17 +288,21 @@ def encode(
     tiktoken encoding with these ranks and pattern and no special tokens.  A
     null or empty text has no ids.  Rows are independent: repeated rows repeat,
     an empty table stays empty, and a column already named ``ids`` is replaced.
+    With ``decoded`` the ids are decoded again in the same pass, into a column
+    of that name (see ``decode``).
     """
 
     def make():
-        own = codec(path, pattern)
+        own, back = codec(path, pattern), decoder(path) if decoded else None
 
         def work(texts: pa.Array) -> list[pa.Array]:
-            return [_lists([np.fromiter(own.encode(t or ""), np.int32) for t in texts.to_pylist()])]
+            rows = [np.fromiter(own.encode(t or ""), np.int32) for t in texts.to_pylist()]
+            return [_lists(rows), *([pa.array([back.decode(r) for r in rows], pa.binary())] if back else [])]
 
         return work
 
-    return add_from_text(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
+    fields = [T.StructField(ids, _IDS), *([T.StructField(decoded, T.BinaryType())] if decoded else [])]
+    return add_from_text(df, text, fields, make)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -278,11 +313,15 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
     """
 
     def make():
-        token = {rank: data for data, rank in ranks_of(path).items()}.__getitem__
+        back = decoder(path)
 
-        def work(lists: pa.Array) -> list[pa.Array]:
-            return [pa.array([b"".join(map(token, row or ())) for row in lists.to_pylist()], pa.binary())]
+        def one(row: pa.ListScalar) -> bytes:
+            if row.values is None:
+                return b""
+            if row.values.null_count:
+                raise KeyError("null is no id")
+            return back.decode(row.values.to_numpy())
 
-        return work
+        return lambda lists: [pa.array([one(row) for row in lists], pa.binary())]
 
     return add_from_text(df, ids, [T.StructField(decoded, T.BinaryType())], make)
