@@ -144,3 +144,16 @@ def test_sequences(spark):
 
 def test_empty(spark):
     assert packing.pack(pieces_of(spark, []), ["doc_id"], 0).count() == 0
+
+
+def test_clashing_columns_pass(spark):
+    rows = [(k, 0, 100 + k, "a", 7) for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, piece int, length long, _shard string, sequence_id int")
+    placed = packing.pack(frame, ["doc_id", "piece"], rows_expected=40)
+    assert placed.columns == ["doc_id", "piece", "length", "_shard", "sequence_id", "offset"]
+    found = placed.collect()
+    assert {r["_shard"] for r in found} == {"a"} and len(found) == 40
+    used = {}
+    for r in found:
+        used[r["sequence_id"]] = used.get(r["sequence_id"], 0) + r["length"]
+    assert all(n <= packing.CAPACITY for n in used.values())

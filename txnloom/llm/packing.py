@@ -295,7 +295,10 @@ def pack(
     names = [f.name for f in kept]
     schema = T.StructType([*kept, *fields])
     dealt = F.xxhash64(*keys, length, F.spark_partition_id())
-    rows = df.select(names).withColumn("_shard", F.pmod(dealt, F.lit(shards)))
+    shard = "_shard"
+    while shard in {n.lower() for n in df.columns}:
+        shard += "_"
+    rows = df.select(names).withColumn(shard, F.pmod(dealt, F.lit(shards)))
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sizes = rows[length].to_numpy(np.float64, na_value=0)
@@ -318,7 +321,7 @@ def pack(
         out.loc[sequence < 0, ["sequence_id", "offset"]] = pd.NA
         return out
 
-    return rows.groupBy("_shard").applyInPandas(place, schema)
+    return rows.groupBy(shard).applyInPandas(place, schema)
 
 
 def sequences(placed: DataFrame) -> DataFrame:
