@@ -315,6 +315,26 @@ def test_lake_summary_finds_the_second_location(spark, lake):
     assert lake_ops.resolve_table(spark, lake, "silver")[1] is None
 
 
+def test_layer_status_and_its_forms(spark, lake):
+    stamp = "TIMESTAMP '2026-01-02 03:04:05'"
+    spark.range(5).selectExpr("id", f"{stamp} AS ingestion_timestamp").write.parquet(lake.table("silver"))
+    status = {r["layer"]: r for r in lake_ops.layer_status(spark, lake).collect()}
+    assert list(status) == ["bronze", "silver", "gold", "scored_gold"]
+    assert (status["silver"]["row_count"], status["silver"]["table_exists"]) == (5, True)
+    assert str(status["silver"]["latest_ingestion"]) == "2026-01-02 03:04:05"
+    assert (status["gold"]["row_count"], status["gold"]["table_exists"], status["gold"]["latest_ingestion"]) == (0, False, None)
+    assert status["bronze"]["path"] == lake.candidates("bronze")[0]
+    summary = lake_ops.lake_summary(spark, lake)
+    document = json.loads(lake_ops.as_json(summary).first()["document"])
+    assert document["silver_count"] == 5 and document["available"] is True
+    assert document["latest_ingestion"].startswith("2026-01-02T03:04:05")
+    lines = [r["line"] for r in lake_ops.as_text(summary).orderBy("position").collect()]
+    assert lines[0] == "tables found" and "silver: 5 rows" in lines and len(lines) == 6
+    nothing = lake_ops.lake_summary(spark, Lake(f"{lake.root}/other"))
+    assert json.loads(lake_ops.as_json(nothing).first()["document"])["latest_ingestion"] is None
+    assert lake_ops.as_text(nothing).orderBy("position").first()["line"] == "no tables found"
+
+
 def test_table_profile(spark):
     got = lake_ops.table_profile(spark.range(4).withColumn("x", F.lit("a"))).collect()
     assert [tuple(r) for r in got] == [(0, "id", "bigint", 4), (1, "x", "string", 4)]

@@ -72,12 +72,14 @@ class Lake:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Without that setting it is a folder below the warehouse, which executors
-    share as well.
+    In local mode a folder below the warehouse takes its place.  On a cluster
+    that may be the driver's own disk, so the setting is needed there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_txnloom"
 
 

@@ -107,3 +107,20 @@ def lake_summary(spark: SparkSession, lake: Lake) -> DataFrame:
         F.bool_or("table_exists").alias("available"),
         F.max("latest_ingestion").alias("latest_ingestion"),
     )
+
+
+def as_json(summary: DataFrame) -> DataFrame:
+    """The summary row as one JSON document; a time that is not known is null."""
+    return summary.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def as_text(summary: DataFrame) -> DataFrame:
+    """The summary row as lines (position, line) for people to read."""
+    counts = [
+        F.concat(F.lit(f"{layer.replace('_', ' ')}: "), F.col(f"{layer}_count").cast("string"), F.lit(" rows"))
+        for layer in LAYER_PATHS
+    ]
+    stamp = F.coalesce(F.col("latest_ingestion").cast("string"), F.lit("none yet"))
+    found = F.when(F.col("available"), F.lit("tables found")).otherwise(F.lit("no tables found"))
+    lines = F.array(found, *counts, F.concat(F.lit("latest ingestion: "), stamp))
+    return summary.select(F.posexplode(lines).alias("position", "line"))

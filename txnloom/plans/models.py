@@ -288,15 +288,22 @@ _SEVERITY = (
     "CASE WHEN psi IS NULL THEN 'UNKNOWN' WHEN psi >= 0.25 THEN 'HIGH' "
     "WHEN psi >= 0.1 THEN 'MEDIUM' ELSE 'LOW' END"
 )
-_SHIFT = """
-    SELECT 'type' AS feature, category, coalesce(b, 0.0::DOUBLE) AS baseline_pct,
+
+
+def _shift_sql(feature: str) -> str:
+    return f"""
+    SELECT '{feature}' AS feature, category, coalesce(b, 0.0::DOUBLE) AS baseline_pct,
         coalesce(c, 0.0::DOUBLE) AS current_pct,
         abs(coalesce(c, 0.0::DOUBLE) - coalesce(b, 0.0::DOUBLE)) AS absolute_change
-    FROM (SELECT type AS category, count(*) / (SELECT count(*) FROM drift_base)::DOUBLE AS b
-            FROM drift_base GROUP BY type)
-        FULL JOIN (SELECT type AS category, count(*) / (SELECT count(*) FROM drift_now)::DOUBLE
-            AS c FROM drift_now GROUP BY type) USING (category)
+    FROM (SELECT {feature} AS category, count(*) / (SELECT count(*) FROM drift_base)::DOUBLE AS b
+            FROM drift_base GROUP BY {feature})
+        FULL JOIN (SELECT {feature} AS category, count(*) / (SELECT count(*) FROM drift_now)::DOUBLE
+            AS c FROM drift_now GROUP BY {feature}) USING (category)
 """
+
+
+_SHIFT = _shift_sql("type")
+_ALL_SHIFTS = " UNION ALL ".join(f"({_shift_sql(f)})" for f in drift.CATEGORICAL_FEATURES)
 _SHARES = ("baseline_pct", "current_pct", "absolute_change")
 _ROUNDED_SHARES = ", ".join(f"round({c}, 6) AS {c}" for c in _SHARES)
 
@@ -323,10 +330,8 @@ def categorical_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shift.withColumns({c: F.round(c, 6) for c in _SHARES})
 
 
-@query(
-    "drift_report",
-    over_events(
-        f"""
+def _report_sql(shifts: str) -> str:
+    return f"""
         SELECT r.*, high_drift_features, high_drift_features <> '' AS requires_review
         FROM (
             SELECT 'numeric' AS kind, feature, NULL AS category, round(psi, 6) AS psi, severity,
@@ -334,19 +339,37 @@ def categorical_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
                 NULL::DOUBLE AS absolute_change
             FROM found
             UNION ALL
-            SELECT 'categorical', feature, category, NULL, NULL, {_ROUNDED_SHARES} FROM ({_SHIFT})
+            SELECT 'categorical', feature, category, NULL, NULL, {_ROUNDED_SHARES} FROM ({shifts})
         ) r, (SELECT coalesce(string_agg(feature, ', ' ORDER BY feature), '')
             AS high_drift_features FROM found WHERE severity = 'HIGH')
-        """,
-        _SIDES_CTE,
-        f"found AS (SELECT feature, psi, {_SEVERITY} AS severity FROM ({_PSI}))",
-    ),
-)
+    """
+
+
+_FOUND_CTE = f"found AS (SELECT feature, psi, {_SEVERITY} AS severity FROM ({_PSI}))"
+
+
+@query("drift_report", over_events(_report_sql(_SHIFT), _SIDES_CTE, _FOUND_CTE))
 def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = drift.drift_report(*_drift_sides(spark, sf_dir))
     return report.withColumns({c: F.round(c, 6) for c in ("psi", *_SHARES)})
 
 
+_DECIDED_CTE = """
+    drift_base AS (SELECT * FROM dec WHERE step < 0),
+    drift_now AS (SELECT * FROM dec WHERE step >= 0 AND final_decision <> 'APPROVE')
+"""
+
+
+@query("drift_decisions", over_decisions(_report_sql(_ALL_SHIFTS), _DECIDED_CTE, _FOUND_CTE))
+def drift_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift of features, types, model levels and final decisions between scored
+    transactions of the first years and those of later years that were not approved."""
+    rows = scoring.add_features(decided(spark, sf_dir))
+    later = rows.filter("step >= 0 AND final_decision <> 'APPROVE'")
+    report = drift.drift_report(rows.filter("step < 0"), later)
+    return report.withColumns({c: F.round(c, 6) for c in ("psi", *_SHARES)})
+
+
 _MODELS: dict[tuple[str, str], PipelineModel] = {}
 
 

@@ -265,28 +265,46 @@ def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake_ops.table_profile(table(spark, sf_dir, "orders"))
 
 
+_LAKE_COUNTS = f"""
+    SELECT (SELECT count(*) FROM bronze) AS bronze_count,
+        (SELECT count(*) FROM bronze) AS silver_count,
+        (SELECT count(*) FROM ({_gold_sql("flagged")})) AS gold_count,
+        (SELECT count(*) FROM orders) AS scored_gold_count,
+        TRUE AS available
+"""
+
+
+def _filled_lake(spark: SparkSession, sf_dir: str, purpose: str) -> Lake:
+    lake = Lake(new_workspace(spark, purpose))
+    bronze = medallion.readable(medallion.decode(raw_messages(spark, sf_dir)))
+    append(bronze, lake.table("bronze"))
+    stored = spark.read.parquet(lake.table("bronze"))
+    append(medallion.silver(stored), lake.table("silver"))
+    append(medallion.gold(spark.read.parquet(lake.table("silver"))), lake.table("gold"))
+    append(medallion.scored_decisions(scored_events(spark, sf_dir)), lake.table("scored_gold"))
+    return lake
+
+
+@query("lake_summary", over_messages(_LAKE_COUNTS, _FROM_BRONZE))
+def lake_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lake_ops.lake_summary(spark, _filled_lake(spark, sf_dir, "lake_summary")).drop("latest_ingestion")
+
+
 @query(
-    "lake_summary",
+    "lake_document",
     over_messages(
         f"""
-        SELECT (SELECT count(*) FROM bronze) AS bronze_count,
-            (SELECT count(*) FROM bronze) AS silver_count,
-            (SELECT count(*) FROM ({_gold_sql("flagged")})) AS gold_count,
-            (SELECT count(*) FROM orders) AS scored_gold_count,
-            TRUE AS available
+        SELECT concat('{{"bronze_count":', bronze_count, ',"silver_count":', silver_count, ',"gold_count":', gold_count,
+            ',"scored_gold_count":', scored_gold_count, ',"available":true}}') AS document
+        FROM ({_LAKE_COUNTS})
         """,
         _FROM_BRONZE,
     ),
 )
-def lake_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lake = Lake(new_workspace(spark, "lake_summary"))
-    bronze = medallion.readable(medallion.decode(raw_messages(spark, sf_dir)))
-    append(bronze, lake.table("bronze"))
-    stored = spark.read.parquet(lake.table("bronze"))
-    append(medallion.silver(stored), lake.table("silver"))
-    append(medallion.gold(spark.read.parquet(lake.table("silver"))), lake.table("gold"))
-    append(medallion.scored_decisions(scored_events(spark, sf_dir)), lake.table("scored_gold"))
-    return lake_ops.lake_summary(spark, lake).drop("latest_ingestion")
+def lake_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lake summary as JSON, without the time of the run."""
+    summary = lake_ops.lake_summary(spark, _filled_lake(spark, sf_dir, "lake_document"))
+    return lake_ops.as_json(summary.drop("latest_ingestion"))
 
 
 @query(

@@ -27,6 +27,17 @@ def latest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.select("event_id", "type", "amount", "balance_diff_orig", "event_time")
 
 
+@query(
+    "latest_and_total",
+    over_features(
+        f"SELECT event_id, amount, event_time, (SELECT count(*) FROM feat) AS total_rows FROM feat {_BEST_FIRST} LIMIT 20"
+    ),
+)
+def latest_and_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest, total = reports.latest_and_total(silver_rows(spark, sf_dir), 20)
+    return newest.select("event_id", "amount", "event_time", F.lit(total).cast("bigint").alias("total_rows"))
+
+
 @query("recent_scored", over_decisions(f"{SCORED_LOG_SQL} {_BEST_FIRST} LIMIT 20"))
 def recent_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.recent_scored(logs.scored_log(scored_events(spark, sf_dir)))
