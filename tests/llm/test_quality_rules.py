@@ -87,6 +87,56 @@ def test_strata_keep_their_limit(spark):
     assert not kept[5001] and kept[5002]
 
 
+def binomial_tail(k, n, rate):
+    if k >= rate * n:
+        return 1.0
+    return sum(
+        math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(rate) + (n - j) * math.log1p(-rate))
+        for j in range(k + 1)
+    )
+
+
+def test_cutoffs_and_verdicts_equal_plain_code(spark):
+    """Every cutoff tried in every stratum, with measures that tie with cutoffs."""
+    draw = random.Random(8)
+    rows = []
+    for i in range(6000):
+        words = [f"w{draw.randrange(900):03d}" for _ in range(50)]
+        # 200 characters in words and symbols: ratios of exactly 0.05, 0.1, 0.2 are common.
+        marks = draw.choice([0, 0, 0, 0, 10, 20]) if i % 3 else draw.choice([0] * 60 + [10, 40, 60])
+        text = "".join(words)[: 200 - marks] + "|" * marks
+        text = " ".join(text[j : j + 4] for j in range(0, 200, 4))
+        if i % 17 == 0:
+            text += "\nline\nline\nother\nline"
+        rows.append((i, text, ["aa", "bb", None][i % 3]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    good = {i for i in range(6000) if i % 5}
+    labels = spark.createDataFrame([(i, int(i in good)) for i in range(6000)], "doc_id long, quality int")
+
+    measured, failed = {}, {}
+    for i, text, _ in rows:
+        n_words, chars, symbols, dup, repeat = counts(text)
+        n_lines = len([x for x in text.split("\n") if x.strip()])
+        measured[i] = {"symbol_ratio": symbols / chars, "dup_line_ratio": dup / n_lines, "repeat_ratio": repeat / n_words, "mean_word": chars / n_words}
+        failed[i] = n_words < 20 or 100 * repeat > 30 * n_words
+    tests = sum(map(len, quality.CUTOFFS.values()))
+    level, rate = quality.ERROR / (tests * 3), quality.LIMIT / len(quality.CUTOFFS)
+    cutoffs = {}
+    for stratum in ("aa", "bb", None):
+        held = [i for i, _, lang in rows if lang == stratum and i in good and not failed[i]]
+        for rule, tried in quality.CUTOFFS.items():
+            passing = [c for c in tried if binomial_tail(sum(measured[i][rule] > c for i in held), len(held), rate) <= level]
+            cutoffs[stratum, rule] = min(passing, default=None)
+    ties = sum(measured[i]["symbol_ratio"] == cutoffs[lang, "symbol_ratio"] for i, _, lang in rows)
+    assert ties > 20 and len({c for (_, rule), c in cutoffs.items() if rule == "symbol_ratio"}) > 1
+    expected = {
+        i: not failed[i] and not any(cutoffs[lang, r] is not None and v > cutoffs[lang, r] for r, v in measured[i].items())
+        for i, _, lang in rows
+    }
+    found = {r["doc_id"]: r["kept"] for r in quality.judge(docs, labels).collect()}
+    assert found == expected and not all(expected.values())
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None), (1, "", "en"), (1, "", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

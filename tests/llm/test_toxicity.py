@@ -99,3 +99,39 @@ def test_pooling_keeps_texts_apart():
             assert np.allclose(joint[i], alone[0])
         else:
             assert not joint[i].any()
+
+
+def test_scores_equal_a_plain_convolution(spark):
+    """Every window of every width of every text, one number after the other."""
+    random = np.random.default_rng(5)
+    net = toxicity.Network(
+        random.normal(0, 0.3, (toxicity.BUCKETS, toxicity.DIMENSIONS)).astype(np.float32),
+        {w: random.normal(0, 0.3, (w, toxicity.DIMENSIONS, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS},
+        random.normal(0, 0.2, toxicity.FILTERS * len(toxicity.WIDTHS)).astype(np.float32),
+        -0.4,
+        1.3,
+        0.2,
+    )
+    model = toxicity.Classifier(net, 0.0, toxicity.DECISION, {})
+    texts = [None, "", "  ", "one", "One two", "a b c d e f g", "same same same", "x y " * 60, "Ärger über Größe!"]
+
+    def plain(text):
+        rows = []
+        for word in toxicity.words_of(text):
+            one, two = toxicity.buckets_of(word)
+            rows.append(net.table[one].astype(float) + net.table[two].astype(float))
+        total = net.bias
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                best = 0.0
+                for at in range(len(rows)):
+                    inside = rows[at : at + width]
+                    best = max(best, sum(float(x @ net.filters[width][j][:, f].astype(float)) for j, x in enumerate(inside)))
+                total += best * float(net.out[k * toxicity.FILTERS + f])
+        return total
+
+    assert np.allclose(toxicity.Scorer(model).margins(texts), [plain(t) for t in texts], rtol=1e-4, atol=1e-4)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [r["score"] for r in toxicity.score(frame, model).orderBy("doc_id").collect()]
+    assert np.allclose(found, [toxicity.Scorer(model)([t])[0] for t in texts]) and all(0 <= s <= 1 for s in found)
+    assert len({round(s, 6) for s in found}) > 5

@@ -215,6 +215,59 @@ FROM counted c JOIN sums s ON s.node = c.node LEFT JOIN nodes u ON u.node = c.up
 """
 
 
+def _op5_sql() -> str:
+    tests = [(rule, cut) for rule, cuts in quality.CUTOFFS.items() for cut in cuts]
+    share, level = quality.LIMIT / len(quality.CUTOFFS), quality.ERROR / len(tests)
+    ratios = {
+        "symbol_ratio": ("n_symbols", "word_chars"),
+        "dup_line_ratio": ("n_dup_lines", "n_lines"),
+        "repeat_ratio": ("n_repeat_words", "n_words"),
+        "mean_word": ("word_chars", "n_words"),
+    }
+    measure = " ".join(f"WHEN '{r}' THEN CASE WHEN {b} > 0 THEN {a} / {b}::DOUBLE ELSE 0 END" for r, (a, b) in ratios.items())
+    return rf"""
+WITH split AS (
+    SELECT row_number() OVER () AS line, doc_id, lang, coalesce(text, '') AS t FROM documents),
+parts AS (
+    SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM split),
+grams AS (
+    SELECT line, i, array_to_string(w[i:i + 7], ' ') AS g
+    FROM (SELECT line, w, unnest(generate_series(1, len(w) - 7)) AS i FROM parts WHERE len(w) > 8)),
+again AS (SELECT line, g FROM grams GROUP BY line, g HAVING count(*) > 1),
+hit AS (
+    SELECT line, count(DISTINCT p) AS n
+    FROM (SELECT line, unnest(generate_series(i, i + 7)) AS p FROM grams JOIN again USING (line, g)) GROUP BY line),
+counted AS (
+    SELECT line, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(hit.n, 0) AS n_repeat_words,
+        len(l) AS n_lines, len(w) < 20 OR 100 * coalesce(hit.n, 0) > 30 * len(w) AS base_failed
+    FROM parts LEFT JOIN hit USING (line)),
+tests(rule, cutoff) AS (VALUES {", ".join(f"('{r}', {c}::DOUBLE)" for r, c in tests)}),
+measured AS (SELECT c.*, rule, cutoff, CASE rule {measure} END > cutoff AS beyond FROM counted c, tests),
+holdout AS (
+    SELECT * FROM measured
+    WHERE doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)),
+strata AS (SELECT greatest(1, count(DISTINCT coalesce('=' || lang, '-'))) AS strata FROM holdout),
+tails AS (
+    SELECT lang, rule, cutoff, n, k FROM (
+        SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (beyond) AS k
+        FROM holdout WHERE NOT base_failed GROUP BY lang, rule, cutoff)),
+passed AS (
+    SELECT lang, rule, min(cutoff) AS cutoff FROM tails, strata
+    WHERE k < {share} * n AND list_sum(list_transform(generate_series(0, k), lambda j: exp(lgamma(n + 1) - lgamma(j + 1)
+        - lgamma(n - j + 1) + j * ln({share}::DOUBLE) + (n - j) * ln(1 - {share}::DOUBLE)))) <= {level} / strata
+    GROUP BY lang, rule),
+rejected AS (
+    SELECT DISTINCT m.line FROM measured m JOIN passed p ON p.lang IS NOT DISTINCT FROM m.lang
+        AND p.rule = m.rule AND p.cutoff = m.cutoff WHERE m.beyond)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND line NOT IN (SELECT line FROM rejected) AS kept
+FROM counted
+"""
+
+
 def _tree_sql(name: str, group: str, levels: int) -> str:
     """CTEs ``name``0 to ``name``<levels>: the nodes (group, pos, total, digest) of each level."""
     steps = [
@@ -340,6 +393,7 @@ _ALL = (
 )
 QUERIES = {run.__name__: _shipped(run) for run in _ALL}
 ORACLES = {
+    "op5_quality": _op5_sql(),
     "op10_warc": OP10_SQL,
     "op11_tries": OP11_SQL,
     "op12_manifest": OP12_SQL,
