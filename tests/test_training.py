@@ -1,4 +1,5 @@
 from txnloom.operators import training
+from txnloom.streaming import pipelines
 
 
 def sizes_of(df):
@@ -28,3 +29,11 @@ def test_training_rows_are_dealt_evenly(spark, monkeypatch):
         fit(rows)
         sizes = sizes_of(fitted.pop())
         assert sum(sizes) == 1000 and len(sizes) >= 20 and max(sizes) <= 60
+
+
+def test_micro_batches_are_dealt_evenly(spark):
+    one = pipelines.dealt(spark.range(800).coalesce(1))
+    cores = spark.sparkContext.defaultParallelism
+    assert sum(sizes_of(one)) == 800 and max(sizes_of(one)) <= 800 / cores + 1
+    assert len(sizes_of(pipelines.dealt(spark.range(0, 800, 1, 3 * cores)))) == 3 * cores * pipelines.SPREAD
+    assert pipelines.dealt(spark.range(0)).count() == 0
