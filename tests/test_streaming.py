@@ -339,3 +339,23 @@ def test_table_profile(spark):
     got = lake_ops.table_profile(spark.range(4).withColumn("x", F.lit("a"))).collect()
     assert [tuple(r) for r in got] == [(0, "id", "bigint", 4), (1, "x", "string", 4)]
     assert lake_ops.preview(spark.range(40)).count() == 10
+
+
+def test_scoring_takes_a_large_channel_in_parts(spark, lake, channel, tmp_path, small_model, monkeypatch):
+    """What waits in the channel is scored whole, a bounded part at a time."""
+    monkeypatch.setattr(pipelines, "BYTES_A_CORE", 1)
+    monkeypatch.setattr(writers, "ROWS_A_FILE", 5)
+    texts = [(f"k{i}", message(event_id=str(i), type="PAYMENT")) for i in range(20)]
+    writers.publish(spark.createDataFrame(texts, "key string, value string").coalesce(1), channel)
+    assert len(list((tmp_path / "raw").glob("*.parquet"))) == 4
+    sinks = [Channel("parquet", path=str(tmp_path / name)) for name in ("scored", "errors")]
+    pipelines.start_scoring(spark, channel, small_model, *sinks, lake, once=True).awaitTermination()
+    log = spark.read.parquet(f"{lake.root}/logs/scored")
+    assert sorted(int(r["event_id"]) for r in log.collect()) == list(range(20))
+    assert log.select("batch_id").distinct().count() == 4
+
+
+def test_a_rate_of_its_own_stays(channel):
+    assert channel.with_rate(3).bounded(10, 100).options == {"maxFilesPerTrigger": "3"}
+    assert channel.bounded(10, 100).options == {"maxBytesPerTrigger": "100"}
+    assert Channel.kafka_source("b", "t").bounded(10, 100).options["maxOffsetsPerTrigger"] == "10"
