@@ -82,3 +82,13 @@ def test_everything_is_registered(spark, sf_dir):
     assert set(queries.QUERIES) | {"pipeline"} <= names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "jaccard_join", "pii", "packing"]
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
+
+
+def test_texts_are_not_exchanged_to_leave_copies_out(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words, "en", "a", 0), (2, words, "en", "a", 0), (3, "other words", "en", "a", 0), (None, words, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert sorted((r["doc_id"] for r in left.collect()), key=str) == [1, 3, None]
